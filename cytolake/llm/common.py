@@ -80,3 +80,34 @@ def unsigned(signed: Column) -> Column:
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id's decimal text, modulo ``by`` (null id: null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by).cast("long"))
+
+
+def id_blocks(docs: DataFrame, key: str, rows: int, most: int = 4096) -> Column:
+    """Number of the block that a row's key falls in: about ``rows`` rows each, in ascending order of the keys.
+
+    The blocks' bounds are approximate quantiles over all rows, ``most`` of
+    them at most; where that is too few, each is cut evenly by key.  Ties stay
+    together and a null key is in the first block.
+    """
+    found = docs.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if not found["n"] or found["lo"] is None:
+        return F.lit(0).cast("long")
+    coarse = max(1, min(most, -(-found["n"] // rows)))
+    cuts = [i / coarse for i in range(1, coarse)]
+    inner = docs.agg(F.percentile_approx(key, cuts, max(10_000, 8 * coarse)).alias("q")).first()["q"] if cuts else []
+    bounds = sorted({found["lo"], *inner})
+    fine = max(1, -(-found["n"] // (rows * len(bounds))))
+    steps = max(1, (len(bounds) - 1).bit_length())
+    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
+
+    def place(e: Column) -> Column:
+        powers = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+        at = F.aggregate(powers, F.lit(0), lambda a, p: F.when(F.get(e, a + p) <= F.col(key), a + p).otherwise(a))
+        if fine == 1:
+            return at.cast("long")
+        ends = F.coalesce(F.get(e, at + 1), F.lit(found["hi"] + 1).cast("long"))
+        lo = F.get(e, at)
+        part = F.floor((F.col(key) - lo).cast("double") / (ends - lo).cast("double") * fine)
+        return at.cast("long") * fine + F.greatest(F.lit(0).cast("long"), F.least(part, F.lit(fine - 1).cast("long")))
+
+    return F.coalesce(let(edges, place), F.lit(0).cast("long"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import fingerprints, quality
 from .common import documents
 
 
@@ -16,6 +16,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(spark, documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
+    "op9_multiset_hash": op9_multiset_hash,
 }
