@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, quality
-from .common import documents
+from . import fingerprints, quality, urls
+from .common import documents, read_table
+
+
+def op3_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(spark, pages, urls.default_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +26,7 @@ def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bloom_cascade": op3_bloom_cascade,
     "op8_quality_rules": op8_quality_rules,
     "op9_multiset_hash": op9_multiset_hash,
 }
