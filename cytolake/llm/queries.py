@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, pieces, quality, urls
+from . import fingerprints, packing, pieces, quality, urls
 from .common import documents, read_table
 
 
@@ -22,6 +22,10 @@ def op3_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, pages, urls.default_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
@@ -38,6 +42,7 @@ def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bloom_cascade": op3_bloom_cascade,
+    "op5_packing": op5_packing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_multiset_hash": op9_multiset_hash,
