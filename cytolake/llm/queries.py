@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, pieces, quality, urls
+from . import fingerprints, packing, pieces, quality, toxicity, urls
 from .common import documents, read_table
 
 
@@ -22,6 +22,10 @@ def op3_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, pages, urls.default_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -42,6 +46,7 @@ def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bloom_cascade": op3_bloom_cascade,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
