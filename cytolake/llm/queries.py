@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, pieces, quality, toxicity, urls
+from . import fingerprints, packing, pieces, pii, quality, toxicity, urls
 from .common import documents, read_table
 
 
@@ -17,6 +17,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.train(docs))
+
+
 def op3_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(spark, pages, urls.default_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -45,6 +50,7 @@ def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_skip_chain_pii": op1_skip_chain_pii,
     "op3_bloom_cascade": op3_bloom_cascade,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
