@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, pieces, pii, quality, toxicity, urls
+from . import fingerprints, jaccard, packing, pieces, pii, quality, toxicity, urls
 from .common import documents, read_table
 
 
@@ -35,6 +35,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(spark, documents(spark, sf_dir))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bloom_cascade": op3_bloom_cascade,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_multiset_hash": op9_multiset_hash,
