@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, let, words
+from .common import SPACE, let, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -45,9 +45,16 @@ def text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def dropped(text: Column, chars: str) -> Column:
+def count_of(text: Column, chars: str) -> Column:
     """Number of characters of ``text`` that are among ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.regexp_count(text, F.lit("[" + "".join("\\" + c for c in chars) + "]"))
+
+
+def has_any(text: Column, parts: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for p in parts:
+        found = found | text.contains(p)
+    return found
 
 
 def repeat_words(ws: Column) -> Column:
@@ -77,46 +84,49 @@ def repeat_words(ws: Column) -> Column:
                 lambda a: a["n"],
             )
 
+        # a sort by the hash brings twins together
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(pairs, of_sorted))
 
-    return F.when(n < WINDOW + 1, F.lit(0)).otherwise(let(ws, lambda w: let(hashes(w), covered)))
+    each = F.transform(ws, lambda w: F.xxhash64(w))
+    return F.when(n < WINDOW + 1, F.lit(0)).otherwise(let(each, lambda w: let(hashes(w), covered)))
 
 
-def line_fails(line: Column) -> Column:
-    """True if a line with words breaks the punctuation, navigation or boilerplate rule."""
+def line_fails(line: Column, phrases: Column) -> Column:
+    """True if a line with words breaks the punctuation, navigation or boilerplate rule.
+
+    Each rule first asks for what is cheap to see (an open end, one ``!``) and
+    counts words only in the few lines that have it; ``phrases`` says whether
+    the text has a boilerplate phrase at all.
+    """
     n = F.size(F.array_remove(F.split(line, SPACE), ""))
-    low = F.lower(line)
-    closed = F.rtrim(line).substr(-1, 1)
-    open_end = F.lit(False) if not CLOSERS else ~F.instr(F.lit(CLOSERS), closed).cast("boolean")
-    shouting = (n >= SHORT_LINE) & (dropped(line, "!") * 2 >= n)
-    menu = (dropped(line, "|") >= 2) & (dropped(line, "|") * 4 >= n)
-    symbols = dropped(line, SYMBOLS) * 2 >= n
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | low.contains(p)
-    return (n > 0) & ((open_end & (n < SHORT_LINE)) | shouting | menu | ((n >= SHORT_LINE) & symbols) | phrase)
+    open_end = F.instr(F.lit(CLOSERS), F.rtrim(line).substr(-1, 1)) == 0
+    short = open_end & (n > 0) & (n < SHORT_LINE)
+    shouting = line.contains("!") & (n >= SHORT_LINE) & (count_of(line, "!") * 2 >= n)
+    menu = line.contains("|") & (count_of(line, "|") >= 2) & (n > 0) & (count_of(line, "|") * 4 >= n)
+    symbols = has_any(line, tuple(SYMBOLS)) & (n >= SHORT_LINE) & (count_of(line, SYMBOLS) * 2 >= n)
+    return short | shouting | menu | symbols | (phrases & (n > 0) & has_any(F.lower(line), BOILERPLATE))
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with its measures, ``clean_text`` (failing lines taken out) and ``kept``."""
     t = text_of(F.col(text))
-    staged = docs.withColumns({"_ws": words(F.col(text)), "_lines": F.split(t, "\n")})
-    staged = staged.withColumn("_judged", F.transform("_lines", lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"))))
-    with_word = F.filter("_lines", lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
+    staged = docs.withColumns({"_ws": words(F.col(text)), "_lines": F.split(t, "\n"), "_phrases": has_any(F.lower(t), BOILERPLATE)})
+    staged = staged.withColumn("_judged", F.transform("_lines", lambda x: F.struct(x.alias("line"), line_fails(x, F.col("_phrases")).alias("fails"))))
+    with_word = F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     bad = F.filter("_judged", lambda x: x["fails"])
     out = staged.withColumns(
         {
             "n_words": F.size("_ws").cast("long"),
-            "word_chars": F.length(F.translate(t, SPACE_CHARS, "")).cast("long"),
-            "n_symbols": dropped(t, SYMBOLS).cast("long"),
+            "word_chars": F.length(F.array_join("_ws", "")).cast("long"),
+            "n_symbols": count_of(t, SYMBOLS).cast("long"),
             "n_dup_lines": (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long"),
             "n_repeat_words": repeat_words(F.col("_ws")).cast("long"),
             "n_lines_removed": F.size(bad).cast("long"),
             "chars_removed": F.aggregate(bad, F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"])),
             "clean_text": F.array_join(F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n"),
         }
-    ).drop("_ws", "_lines", "_judged")
+    ).drop("_ws", "_lines", "_phrases", "_judged")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     lost = F.col("chars_removed") * 100 > F.length(t) * MAX_LOST_PERCENT
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost)
