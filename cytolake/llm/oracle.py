@@ -30,6 +30,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM m
 """
 
+OP2 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, t, unnest(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(1) || chr(10), 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(1) || chr(10), 'g'), chr(10)), 1) AS i FROM d),
+s AS (SELECT doc_id, t, i, replace(s, chr(1), '') AS s, right(s, 1) <> chr(1) AS line_end,
+        list_filter(regexp_split_to_array(translate(replace(s, chr(1), ''), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l),
+o AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s) - 1 AS start,
+        coalesce(sum(CASE WHEN line_end OR len(ws) >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM s),
+u AS (SELECT doc_id, g, min(start) AS a, max(start + length(s)) AS b, translate(list_aggregate(flatten(list(ws ORDER BY i)), 'string_agg', ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm,
+        len(flatten(list(ws))) AS n FROM o GROUP BY doc_id, g HAVING len(flatten(list(ws))) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, g) > 1 AND n >= 5 AS gone FROM u),
+r AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) FILTER (WHERE gone) AS removed FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN r USING (doc_id)
+"""
+
 OP3 = r"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -40,4 +54,4 @@ fit AS (SELECT page_id, rh || rp AS rule, v, row_number() OVER (PARTITION BY pag
 SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN fit ON fit.page_id = p.page_id AND k = 1
 """
 
-ORACLE: dict[str, str] = {"op3_bloom_cascade": OP3, "op8_quality_rules": OP8}
+ORACLE: dict[str, str] = {"op2_line_hashing": OP2, "op3_bloom_cascade": OP3, "op8_quality_rules": OP8}

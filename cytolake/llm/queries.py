@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, packing, pieces, pii, quality, toxicity, urls
+from . import fingerprints, jaccard, packing, passages, pieces, pii, quality, toxicity, urls
 from .common import documents, read_table
 
 
@@ -27,6 +28,11 @@ def op3_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, pages, urls.default_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.marked(spark, documents(spark, sf_dir))
+    return found.select("doc_id", "n_units", "n_removed", "removed")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
@@ -55,6 +61,7 @@ def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
+    "op2_line_hashing": op2_line_hashing,
     "op3_bloom_cascade": op3_bloom_cascade,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
