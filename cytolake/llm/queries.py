@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, packing, passages, pieces, pii, quality, toxicity, urls
+from . import fingerprints, jaccard, mixing, packing, passages, pieces, pii, quality, toxicity, urls
 from .common import documents, read_table
 
 
@@ -59,6 +59,10 @@ def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(spark, documents(spark, sf_dir))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(spark, documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_line_hashing": op2_line_hashing,
@@ -69,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_multiset_hash": op9_multiset_hash,
+    "op10_context_mixing": op10_context_mixing,
 }
