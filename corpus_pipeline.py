@@ -1,12 +1,77 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it
+kept, and returns a DataFrame; all but the last return the columns of
+``documents``.  ``run`` writes each stage's result as Parquet in the shared
+folder and reads it again for the next one, so a lost executor costs at most a
+part of one stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cytolake.llm import jaccard, packing, passages, pii, quality
 from cytolake.llm.common import Stage, read_table
+from cytolake.llm.queries import tokenizer
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one, so that no name of theirs meets a name that a stage adds."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"))
+
+
+def unboxed(found: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns of ``boxed``'s input, with ``text`` replaced and n_chars counted anew."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return found.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without their failing lines."""
+    return unboxed(quality.judge(boxed(docs)).filter("kept"), docs.columns, F.col("clean_text"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked documents; rows that repeat an id count once."""
+    stage = Stage(spark, "near_duplicates")
+    found = stage.save(jaccard.join(spark, docs.select("doc_id", "text")), "components")
+    gone = stage.save(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    repeated = stage.save(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= jaccard.BROADCAST_ROWS else ids
+    kept = docs.join(small(gone), "doc_id", "left_anti")
+    if repeated.limit(1).count():
+        again = kept.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(small(repeated), "doc_id", "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each without the passages that occur earlier."""
+    return unboxed(passages.clean(spark, boxed(docs)), docs.columns, F.col("text"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every span of personal data replaced by its kind."""
+    return unboxed(pii.redact(boxed(docs), pii.train(docs)), docs.columns, F.col("text"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 2048 tokens."""
+    return packing.pack(spark, docs.select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: The random field and the tokenizer have no SQL.
 ORACLE_SQL = None
 
 
