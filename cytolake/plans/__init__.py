@@ -1 +1,15 @@
-"""See the package modules."""
+"""Registered queries of the methylation operators and their SQL oracles."""
+
+from __future__ import annotations
+
+from . import core
+
+MODULES = (core,)
+
+
+def queries() -> dict:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
