@@ -117,4 +117,4 @@ def gap_regions(df: DataFrame, threshold: int, least: int = 2) -> DataFrame:
     cut = F.when(F.col("pos") - F.lag("pos").over(w) > threshold, 1).otherwise(0)
     run = df.withColumn("_cut", cut).withColumn("run", F.sum("_cut").over(w))
     out = run.groupBy("chrom", "run").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("n_sites"))
-    return out.filter(F.col("n_sites") >= least)
+    return out.filter(F.col("n_sites") >= least).drop("run")

@@ -176,11 +176,11 @@ def agg_region_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_matrix(spark, sf_dir).withColumn("relative", F.round("relative", 6))
 
 
-@query(f"""WITH f AS ({FRACTION}) SELECT region, count(mean) AS covered_cell, round(avg(mean), 6) AS mean, round(CASE WHEN count(mean) > 1 THEN var_pop(mean) END, 8) AS var,
-  round(CASE WHEN count(relative) > 1 THEN var_pop(relative) END, 8) AS sr_var FROM ({RESIDUAL}) GROUP BY region""")
+@query(f"""WITH f AS ({FRACTION}) SELECT region, count(mean) AS covered_cell, round(avg(mean), 6) AS mean, round(CASE WHEN count(mean) > 1 THEN var_pop(mean) END + 1e-9, 6) AS var,
+  round(CASE WHEN count(relative) > 1 THEN var_pop(relative) END + 1e-9, 6) AS sr_var FROM ({RESIDUAL}) GROUP BY region""")
 def agg_region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = matrix.region_stats(residual_matrix(spark, sf_dir))
-    return s.select("region", "covered_cell", r6(F.col("mean"), "mean"), *[F.round(c, 8).alias(c) for c in ("var", "sr_var")])
+    return s.select("region", "covered_cell", r6(F.col("mean"), "mean"), *[r6(F.col(c) + 1e-9, c) for c in ("var", "sr_var")])
 
 
 @query(f"WITH m AS ({TILED}) SELECT region, count(mean) AS covered_cell, round(avg(mean), 6) AS mean, round(var_pop(mean), 6) AS var, round(count(mean) / CAST((SELECT count(*) FROM {{cells}}) AS DOUBLE), 6) AS pct_cell FROM m GROUP BY region")
