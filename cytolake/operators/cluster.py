@@ -29,7 +29,7 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside / total - resolution * square / (2 * total) ** 2
 
 
-def communities(edges: DataFrame, save, rounds: int = 12, resolution: float = 1.0) -> DataFrame:
+def communities(edges: DataFrame, save, rounds: int = 20, resolution: float = 1.0) -> DataFrame:
     """(id, community) by rounds of local moves that raise modularity (the first phase of Louvain).
 
     In a round a node joins the neighbouring community with the largest gain;
@@ -41,6 +41,7 @@ def communities(edges: DataFrame, save, rounds: int = 12, resolution: float = 1.
     degree = save(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "degree")
     twice = degree.agg(F.sum("k")).first()[0] or 1.0
     labels = save(degree.select("id", "k", F.col("id").alias("community")), "labels_0")
+    still = 0
     for turn in range(1, rounds + 1):
         mass = labels.groupBy("community").agg(F.sum("k").alias("tot"))
         near = both.join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
@@ -54,7 +55,8 @@ def communities(edges: DataFrame, save, rounds: int = 12, resolution: float = 1.
         fresh = save(moved, f"labels_{turn}")
         changed = fresh.filter("old <> community").limit(1).count()
         labels = fresh.select("id", "k", "community")
-        if not changed and turn > 1:
+        still = 0 if changed else still + 1
+        if still == 4:  # each node may have moved in some of these rounds
             break
     return labels.select("id", "community")
 
