@@ -31,7 +31,7 @@ def unboxed(found: DataFrame, columns: list[str], text: Column) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their failing lines."""
-    return unboxed(quality.judge(boxed(docs)).filter("kept"), docs.columns, F.col("clean_text"))
+    return unboxed(quality.keep(boxed(docs)), docs.columns, F.col("clean_text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

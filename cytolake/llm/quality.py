@@ -111,8 +111,10 @@ def line_fails(line: Column, phrases: Column) -> Column:
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with its measures, ``clean_text`` (failing lines taken out) and ``kept``."""
     t = text_of(F.col(text))
-    staged = docs.withColumns({"_ws": words(F.col(text)), "_lines": F.split(t, "\n"), "_phrases": has_any(F.lower(t), BOILERPLATE)})
-    staged = staged.withColumn("_judged", F.transform("_lines", lambda x: F.struct(x.alias("line"), line_fails(x, F.col("_phrases")).alias("fails"))))
+    # bound together, so that a line's lambda never works the phrases out again
+    parts = F.struct(F.split(t, "\n").alias("lines"), has_any(F.lower(t), BOILERPLATE).alias("phrases"))
+    judged = let(parts, lambda p: F.transform(p["lines"], lambda x: F.struct(x.alias("line"), line_fails(x, p["phrases"]).alias("fails"))))
+    staged = docs.withColumns({"_ws": words(F.col(text)), "_lines": F.split(t, "\n"), "_judged": judged})
     with_word = F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     bad = F.filter("_judged", lambda x: x["fails"])
     out = staged.withColumns(
@@ -126,7 +128,16 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
             "chars_removed": F.aggregate(bad, F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"])),
             "clean_text": F.array_join(F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n"),
         }
-    ).drop("_ws", "_lines", "_phrases", "_judged")
+    ).drop("_ws", "_lines", "_judged")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     lost = F.col("chars_removed") * 100 > F.length(t) * MAX_LOST_PERCENT
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost)
+
+
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The judged documents that are kept.
+
+    A row number between the two keeps the optimizer from moving the filter
+    below the measures, where each of them would be worked out again in it.
+    """
+    return judge(docs, text).withColumn("_at", F.monotonically_increasing_id()).filter("kept").drop("_at")
