@@ -59,13 +59,16 @@ def fingerprint(text: Column) -> Column:
     def projected(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(LANE_BITS - 1)), lambda k: total(h, lambda x: F.call_function("shiftrightunsigned", x, k).bitwiseAND(long(SPREAD))))
 
+    def hashed(xs: Column, seed: int) -> Column:
+        return F.transform(xs, lambda x: F.xxhash64(x, F.lit(seed)))
+
     def head(ps: Column) -> list[Column]:
-        return [total(ps, lambda p, s=s: F.xxhash64(p, F.lit(s)).bitwiseAND(long(MASK))) for s in SEEDS] + [F.size(ps).cast("long")]
+        return [total(hashed(ps, s), lambda h: h.bitwiseAND(long(MASK))) for s in SEEDS] + [F.size(ps).cast("long")]
 
     lead = let(paragraphs, lambda ps: F.array(*head(ps)))
     lanes = let(
         pieces,
-        lambda xs: F.concat(F.array(F.size(xs).cast("long")), *[let(F.transform(xs, lambda x, s=s: F.xxhash64(x, F.lit(s))), projected) for s in SEEDS]),
+        lambda xs: F.concat(F.array(F.size(xs).cast("long")), *[let(hashed(xs, s), projected) for s in SEEDS]),
     )
     return F.concat(lead, lanes)
 
