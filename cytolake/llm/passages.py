@@ -90,7 +90,7 @@ def removals(stage: Stage, docs: DataFrame) -> DataFrame:
     twice = found.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.max(first).alias("last")).filter(F.col("first") != F.col("last"))
     twice = stage.save(twice.select("h1", "h2", "first"), "twice")
     later = found.join(twice, ["h1", "h2"]).filter(F.struct("doc_id", "unit") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("unit", "h1"))).alias("gone"))
+    return later.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("unit", "h1"))).alias("_gone_units"))
 
 
 ADDED = "n_units long, n_removed long, removed string, clean_text string"
@@ -107,7 +107,7 @@ def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, spans, clean = [], [], [], []
-            for x, g in zip(batch.column("text"), batch.column("gone"), strict=True):
+            for x, g in zip(batch.column("text"), batch.column("_gone_units"), strict=True):
                 text, g = x.as_py(), g.as_py()
                 us = units(text or "")
                 mine = {e["unit"]: e["h1"] for e in g or ()}
