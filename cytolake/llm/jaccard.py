@@ -2,7 +2,8 @@
 
 Documents with equal sets are one vertex.  The others meet through the keys of
 an extended prefix: a set's shingles are put in one global order, first those
-of the rare class (by hash), then those of the frequent class; two sets with
+of the rare class (by hash), then those of the frequent class, then those that
+are not counted (below); two sets with
 Jaccard similarity s share at least k of their first ``n - ceil(s * n) + k``
 shingles.  With k = 2, either a rare shingle is among the shared ones, so single
 rare shingles are keys; or all are frequent, and pairs of frequent shingles are
@@ -10,13 +11,22 @@ keys.  A set with many frequent shingles in its prefix (a member of a large
 group of near copies, whose shingles are all frequent) gives its frequent
 shingles singly, and the others give theirs singly as well, to meet these only.
 
-A key's bucket is not expanded into pairs.  First each member is verified
-against the bucket's hub, which links a group of copies by a star; then only
-members of different components are paired and verified, which is exact: a
-pair within a component needs no link of its own.
-
-The frequent class is found over all documents by counting in windows of some
-million shingles.  It only orders shingles; the result doesn't depend on it.
+A key's bucket is not expanded into pairs.  First its members are verified
+against one of them (the hub), which links groups of copies by stars; for the
+dense sets this is repeated with other hubs, each time only where member and
+hub are in different components yet, so a member of a large group meets a few
+others until one is linked with it.  At last only members of different
+components are paired, counted and verified, which is exact: a pair within a
+component needs no link of its own.  The count of keys that a pair shares
+bounds its overlap from above, so pairs that share no more than a passage are
+never verified.
+
+Shingles are counted over all documents, those of the lower half of the
+hashes exactly: a prefix takes the lowest hashes first, so it rarely needs
+others.  The frequent class is the most frequent of these; it only orders
+shingles, the result doesn't depend on it.  Those found in one document only
+give no key; a Bloom filter of a fixed size tells the others (what it lets pass
+wrongly is a key that nobody shares).
 
 Defined cases: null or empty texts, and texts without words, have an empty set
 and are linked with nothing; a text of one to four words has one shingle;
@@ -47,10 +57,20 @@ TOGETHER = 2
 DENSE = 12
 #: A shingle is frequent with this many documents.
 FREQUENT = 48
-#: Counted in windows of this many shingles, where it has to occur in this many documents.
-COUNT_WINDOW, COUNT_LEAST = 4_000_000, 6
+#: Shingles are counted whose hash has this many leading zero bits.
+COUNTED_BITS = 1
+#: They are added up in windows of this many before the shuffle.
+COUNT_WINDOW = 2_000_000
 #: Most shingles in the frequent class; the others are ordered as rare ones.
-FREQUENT_MOST = 250_000
+FREQUENT_MOST = 1_000_000
+#: Bits and hashes of the filter of shingles found at least twice.
+SEEN_BITS, SEEN_HASHES = 1 << 25, 3
+#: Words of the filter that are sent to the driver in one row.
+PAGE = 1 << 12
+#: The keys of dense sets, in parts by hash, that the repeated stars use one after another.
+TURN_PARTS, TURNS = 8, ((0,), (1, 2), (3, 4, 5, 6, 7))
+#: Two components that meet in so many (key, member, member) are paired member by member, if that is less.
+HEAVY = 1024
 #: Most vertex ids sent to the executors at once; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -118,82 +138,147 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the frequent class, counted over all documents."""
+def shared_shingles(docs: DataFrame) -> DataFrame:
+    """(h, n): the counted shingles that at least two documents have, with the number of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def counted() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= COUNT_LEAST
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
         for batch in batches:
             for x in batch.column("text"):
-                held.append(shingles(x.as_py() or ""))
-            if sum(map(len, held)) >= COUNT_WINDOW:
-                yield counted()
+                s = shingles(x.as_py() or "")
+                held.append(s[: np.searchsorted(s, np.uint64(1 << (64 - COUNTED_BITS)))])
+                size += len(held[-1])
+                if size >= COUNT_WINDOW:
+                    yield counted()
+                    size = 0
         if held:
             yield counted()
 
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    found = found.orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).select("h").toPandas()
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+
+
+def frequent_shingles(shared: DataFrame) -> np.ndarray:
+    """Sorted hashes of the frequent class."""
+    found = shared.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).select("h").toPandas()
     return np.sort(found["h"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set's extended prefix and their kinds: 0 meets all, 1 meets 2 only, 2 meets 1 and 2."""
+def _seen_places(h: np.ndarray) -> Iterator[np.ndarray]:
+    other = mix(h ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+    for k in range(SEEN_HASHES):
+        yield (mix(h + np.uint64(k)) + np.uint64(k) * other) & np.uint64(SEEN_BITS - 1)
+
+
+def seen_filter(stage: Stage, shared: DataFrame) -> np.ndarray:
+    """Bloom filter of the shared shingles, as 64-bit words; gathered by words, of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.unique(np.concatenate(list(_seen_places(h))))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "value"])
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("word", "value"))
+            order = np.argsort(word)
+            word, value = word[order], value[order]
+            page, first = np.unique(word // PAGE, return_index=True)
+            ends = [*first[1:], len(word)]
+            cells = [(word[f:e] % PAGE).astype("<u2").tobytes() + value[f:e].astype("<i8").tobytes() for f, e in zip(first, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(page), pa.array(cells, pa.binary())], names=["page", "cells"])
+
+    found = shared.select("h").mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
+    found = stage.save(found.mapInArrow(pages, "page long, cells binary"), "seen")
+    words = np.zeros(SEEN_BITS // 64, dtype=np.uint64)
+    for r in found.toLocalIterator():
+        m = len(r["cells"]) // 10
+        at = np.frombuffer(r["cells"], dtype="<u2", count=m).astype(np.int64) + r["page"] * PAGE
+        words[at] = np.frombuffer(r["cells"], dtype="<u8", offset=2 * m)
+    return words
+
+
+def seen_twice(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(h), dtype=bool)
+    for at in _seen_places(h):
+        ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+#: Kinds of keys: a rare shingle; a frequent one of a set that gives pairs, or of a dense set; a pair.
+RARE, SPARSE, DENSE_ONE, PAIR = 0, 1, 2, 3
+
+
+def prefix_keys(s: np.ndarray, frequent: np.ndarray, seen: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of a set's extended prefix, their kinds, and how many of its shingles are frequent."""
     n = len(s)
     least = least_overlap(n, percent)
     if least < TOGETHER or n < 4:  # smaller sets are linked with equal sets only
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8), 0
     length = min(n, n - least + TOGETHER)
-    at = np.searchsorted(frequent, s)
-    often = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(n, dtype=bool)
-    rare = s[~often][:length]
-    common = s[often][: length - len(rare)]
-    kinds = [np.zeros(len(rare), dtype=np.int8)]
+    counted = s[: np.searchsorted(s, np.uint64(1 << (64 - COUNTED_BITS)))]
+    at = np.searchsorted(frequent, counted)
+    often = frequent[np.minimum(at, len(frequent) - 1)] == counted if len(frequent) else np.zeros(len(counted), dtype=bool)
+    # the global order: counted and rare, counted and frequent, not counted; each by hash
+    rare = counted[~often][:length]
+    common = counted[often][: length - len(rare)]
+    rest = s[len(counted) :][: length - len(rare) - len(common)]
+    rare = np.concatenate([rare[seen_twice(rare, seen)], rest])
+    kinds = [np.full(len(rare), RARE, dtype=np.int8)]
     keys = [rare]
     if len(common):
         dense = len(common) > DENSE
         keys.append(mix(common ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        kinds.append(np.full(len(common), 2 if dense else 1, dtype=np.int8))
+        kinds.append(np.full(len(common), DENSE_ONE if dense else SPARSE, dtype=np.int8))
         if not dense and len(common) >= TOGETHER:
             i, j = np.triu_indices(len(common), 1)
             keys.append(mix(common[i] * np.uint64(3) + mix(common[j])))
-            kinds.append(np.zeros(len(i), dtype=np.int8))
-    return np.concatenate(keys), np.concatenate(kinds)
+            kinds.append(np.full(len(i), PAIR, dtype=np.int8))
+    return np.concatenate(keys), np.concatenate(kinds), len(common)
 
 
-SIGNATURES = "doc_id long, n long, a long, b long, keys binary, kinds binary"
+SIGNATURES = "doc_id long, n long, often long, a long, b long, keys binary, kinds binary"
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, frequent: np.ndarray, seen: np.ndarray, percent: int) -> DataFrame:
     """Set size, 128-bit fingerprint of the set, and prefix keys of every document."""
+    held = docs.sparkSession.sparkContext.broadcast((frequent, seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, keys, kinds = [], [], [], [], []
+            n, often, a, b, keys, kinds = [], [], [], [], [], []
             for x in batch.column("text"):
                 s = shingles(x.as_py() or "")
                 n.append(len(s))
                 a.append(int(np.sum(s, dtype=np.uint64).view(np.int64)))
                 b.append(int(np.sum(mix(s ^ np.uint64(_ODD)), dtype=np.uint64).view(np.int64)))
-                k, t = prefix_keys(s, frequent, percent)
+                k, t, f = prefix_keys(s, *held.value, percent)
+                often.append(f)
                 keys.append(k.tobytes())
                 kinds.append(t.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(kinds, pa.binary())],
-                names=["doc_id", "n", "a", "b", "keys", "kinds"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(often, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(kinds, pa.binary())],
+                names=["doc_id", "n", "often", "a", "b", "keys", "kinds"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURES)
 
 
+#: Bits of a key's kind and of the number of frequent shingles, below the set's size in one long.
+KIND_BITS, OFTEN_BITS = 2, 24
+
+
 def exploded(vertices: DataFrame) -> DataFrame:
-    """A row a key of each vertex: key, v, and its size and the key's kind in one long."""
+    """A row a key of each vertex: key, v, and its size, frequent shingles and the key's kind in one long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,12 +286,39 @@ def exploded(vertices: DataFrame) -> DataFrame:
             if not keys:
                 continue
             times = np.array([len(k) for k in keys])
-            kinds = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int8) for x in batch.column("kinds")])
+            kinds = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int8) for x in batch.column("kinds")]).astype(np.int64)
             v = np.repeat(batch.column("v").to_numpy(zero_copy_only=False), times)
-            n = np.repeat(batch.column("n").to_numpy(zero_copy_only=False), times)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(v), pa.array(n * 4 + kinds)], names=["key", "v", "nk"])
+            n, often = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "often"))
+            info = (n << OFTEN_BITS | np.minimum(often, (1 << OFTEN_BITS) - 1)) << KIND_BITS
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(v), pa.array(np.repeat(info, times) | kinds)], names=["key", "v", "info"])
+
+    return vertices.select("v", "n", "often", "keys", "kinds").mapInArrow(run, "key long, v long, info long")
+
+
+def kind_of(info: Column) -> Column:
+    return info.bitwiseAND(F.lit((1 << KIND_BITS) - 1).cast("long"))
+
+
+def size_of(info: Column) -> Column:
+    return F.shiftrightunsigned(info, OFTEN_BITS + KIND_BITS)
+
 
-    return vertices.select("v", "n", "keys", "kinds").mapInArrow(run, "key long, v long, nk long")
+def often_of(info: Column) -> Column:
+    return F.shiftrightunsigned(info, KIND_BITS).bitwiseAND(F.lit((1 << OFTEN_BITS) - 1).cast("long"))
+
+
+def missing(info_a: Column, info_b: Column, percent: int) -> Column:
+    """Single keys that two sets have to share at least to be linked, given their sizes and frequent shingles.
+
+    Of the set whose prefix ends first in the global order, the overlap holds
+    at most the shared part of the prefix and all that is behind it.  Two
+    sparse sets don't show single frequent shingles to each other.
+    """
+    n, m = size_of(info_a), size_of(info_b)
+    needed = F.ceil((n + m) * percent / (100 + percent))
+    behind = F.greatest(F.lit(0).cast("long"), F.ceil(F.greatest(n, m) * percent / 100) - TOGETHER)
+    sparse = F.greatest(often_of(info_a), often_of(info_b)) <= DENSE
+    return needed - behind - F.when(sparse, F.least(often_of(info_a), often_of(info_b))).otherwise(0)
 
 
 def fits(n: Column, m: Column, percent: int) -> Column:
@@ -249,45 +361,85 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     stage = Stage(spark, "jaccard")
-    signed = stage.save(signatures(docs, frequent_shingles(docs), percent), "signatures")
+    shared = stage.save(shared_shingles(docs), "shared")
+    signed = stage.save(signatures(docs, frequent_shingles(shared), seen_filter(stage, shared), percent), "signatures")
     # one vertex for equal sets, named by the smallest id
     names = signed.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("v"))
     vertices = signed.join(names, ["a", "b"]).filter("doc_id = v")
     bucket = Window.partitionBy("key")
-    rows = exploded(vertices).withColumns(
-        {
-            "size": F.count(F.lit(1)).over(bucket),
-            # dense members first: in a bucket of single frequent shingles only they may be the hub
-            "hub": F.min(F.struct((-F.col("nk").bitwiseAND(F.lit(3).cast("long"))).alias("k"), F.xxhash64("v").alias("h"), F.col("v").alias("v"), F.col("nk").alias("nk"))).over(bucket),
-        }
-    )
-    rows = rows.filter((F.col("size") > 1) & (F.col("hub.k") != -1)).select("key", "v", F.floor(F.col("nk") / 4).alias("n"), F.col("nk").bitwiseAND(F.lit(3).cast("long")).alias("kind"), F.col("hub.v").alias("hub"), F.floor(F.col("hub.nk") / 4).alias("hub_n"))
-    rows = stage.save(rows, "buckets")
+    rows = exploded(vertices).withColumns({"size": F.count(F.lit(1)).over(bucket), "first_kind": F.max(kind_of(F.col("info"))).over(bucket)})
+    # sparse sets don't meet in a bucket of a single frequent shingle
+    rows = stage.save(rows.filter((F.col("size") > 1) & (F.col("first_kind") != SPARSE)).select("key", "v", "info"), "buckets")
     texts = stage.save(packed_texts(docs, stage.save(rows.select("v").distinct(), "wanted")), "texts")
-    stars = rows.filter((F.col("v") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"), percent)).select(F.col("v").alias("src"), F.col("hub").alias("dst")).distinct()
-    stars = stage.save(verified(stars, texts, percent), "stars")
-    first = components(stage, stars, "first")
-    across = stage.save(pairs_across(stage, rows, first, percent), "across")
-    links = stars.union(verified(across, texts, percent))
-    roots = components(stage, links, "all")
+    links = stage.save(verified(star_pairs(rows, None, percent), texts, percent), "stars")
+    labels = components(stage, links, "c0")
+    dense = stage.save(rows.filter(kind_of(F.col("info")) == DENSE_ONE), "dense")
+    if dense.limit(1).count():
+        for turn, part in enumerate(TURNS):
+            some = dense.filter(F.pmod(F.xxhash64("key"), F.lit(TURN_PARTS)).isin(*part))
+            more = stage.save(verified(star_pairs(some, labels, percent), texts, percent), f"stars_{turn}")
+            links = links.union(more)
+            labels = components(stage, links, f"c{turn + 1}")
+    across = stage.save(pairs_across(stage, rows, labels, percent), "across")
+    roots = components(stage, links.union(verified(across, texts, percent)), "all")
     named = signed.join(names, ["a", "b"], "left").join(roots.withColumnRenamed("id", "v"), "v", "left")
     alone = F.col("n") == 0
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "v")).alias("component_id"))
 
 
+def star_pairs(rows: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of bucket members with their bucket's hub.
+
+    At first (without labels) the hub is chosen alike in all buckets, and only
+    pairs that share many keys are taken; later each bucket has a hub of its
+    own, and only pairs of different components are.
+    """
+    bucket = Window.partitionBy("key")
+    info = F.col("info")
+    own = rows.withColumn("c", F.col("v")) if labels is None else rows.join(labels.withColumnRenamed("id", "v"), "v", "left").select("key", "v", "info", F.coalesce("root", "v").alias("c"))
+    order = F.xxhash64("v") if labels is None else F.xxhash64("v", "key")
+    rank = F.when(kind_of(info) == DENSE_ONE, 0).otherwise(1)
+    hub = F.min(F.struct(rank.alias("rank"), order.alias("h"), F.col("v").alias("v"), info.alias("info"), F.col("c").alias("c"))).over(bucket)
+    met = own.withColumn("hub", hub).filter(F.col("c") != F.col("hub.c")).groupBy(F.col("v").alias("src"), F.col("hub.v").alias("dst"))
+    met = met.agg(F.count(F.lit(1)).alias("keys"), F.min("info").alias("i"), F.min("hub.info").alias("j"))
+    i, j = F.col("i"), F.col("j")
+    met = met.filter(fits(size_of(i), size_of(j), percent))
+    if labels is None:
+        met = met.filter(F.col("keys") * 4 >= missing(i, j, percent))
+    return met.select("src", "dst")
+
+
 def pairs_across(stage: Stage, rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of bucket members that are in different components yet, and may be linked by their sizes."""
-    own = rows.join(labels.withColumnRenamed("id", "v"), "v", "left").select("key", "v", "n", "kind", F.coalesce("root", "v").alias("c"))
+    """Pairs of bucket members that are in different components yet, and may be linked by their sizes and shared keys.
+
+    Components are paired first.  Where two of them meet in many buckets, their
+    members are paired once and for all; else bucket by bucket, which counts
+    the keys that a pair shares.
+    """
+    own = rows.join(labels.withColumnRenamed("id", "v"), "v", "left").select("key", "v", "info", F.coalesce("root", "v").alias("c"))
     parts = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
     open_ = stage.save(own.join(parts, "key"), "open")
-    # pairs of components per bucket, then their members: a component's own members are never paired
-    comps = open_.groupBy("key", "c").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("kind").alias("kind"))
-    left = comps.select("key", F.col("c").alias("c1"), F.col("n0").alias("a0"), F.col("n1").alias("a1"), F.col("kind").alias("k1"))
-    right = comps.select("key", F.col("c").alias("c2"), F.col("n0").alias("b0"), F.col("n1").alias("b1"), F.col("kind").alias("k2"))
-    near = (F.col("c1") < F.col("c2")) & (F.col("b1") * 100 >= F.col("a0") * percent) & (F.col("a1") * 100 >= F.col("b0") * percent)
-    may = (F.col("k1") == 0) | (F.col("k1") == 2) | (F.col("k2") == 2)
-    both = left.join(right, "key").filter(near & may).select("key", "c1", "c2")
-    one = both.join(open_.select("key", F.col("c").alias("c1"), F.col("v").alias("src"), F.col("n").alias("n1"), F.col("kind").alias("k1")), ["key", "c1"])
-    two = one.join(open_.select("key", F.col("c").alias("c2"), F.col("v").alias("dst"), F.col("n").alias("n2"), F.col("kind").alias("k2")), ["key", "c2"])
-    two = two.filter(fits(F.col("n1"), F.col("n2"), percent) & may)
-    return two.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    n = size_of(F.col("info"))
+    comps = open_.groupBy("key", "c").agg(F.min(n).alias("least"), F.max(n).alias("most"), F.max(kind_of(F.col("info"))).alias("kind"), F.count(F.lit(1)).alias("m"))
+    left, right = (comps.select("key", *[F.col(x).alias(f"{x}{k}") for x in ("c", "least", "most", "kind", "m")]) for k in (1, 2))
+    near = (F.col("c1") < F.col("c2")) & (F.col("most2") * 100 >= F.col("least1") * percent) & (F.col("most1") * 100 >= F.col("least2") * percent)
+    met = left.join(right, "key").filter(near & ~((F.col("kind1") == SPARSE) & (F.col("kind2") == SPARSE)))
+    met = stage.save(met.select("key", "c1", "c2", (F.col("m1") * F.col("m2")).alias("pairs")), "met")
+    members = stage.save(open_.groupBy("c", "v").agg(F.min("info").alias("info")), "members")
+    sizes = members.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    heavy = met.groupBy("c1", "c2").agg(F.sum("pairs").alias("pairs")).filter(F.col("pairs") >= HEAVY)
+    for k in (1, 2):
+        heavy = heavy.join(sizes.select(F.col("c").alias(f"c{k}"), F.col("size").alias(f"s{k}")), f"c{k}")
+    heavy = stage.save(heavy.filter(F.col("pairs") >= 4 * F.col("s1") * F.col("s2")).select("c1", "c2"), "heavy")
+    whole, light = heavy, met.join(heavy, ["c1", "c2"], "left_anti").select("key", "c1", "c2")
+    for k, name in ((1, "src"), (2, "dst")):
+        whole = whole.join(members.select(F.col("c").alias(f"c{k}"), F.col("v").alias(name), F.col("info").alias(f"i{k}")), f"c{k}")
+        light = light.join(open_.select("key", F.col("c").alias(f"c{k}"), F.col("v").alias(name), F.col("info").alias(f"i{k}")), ["key", f"c{k}"])
+    i, j = F.col("i1"), F.col("i2")
+    ends = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+    whole = whole.filter(fits(size_of(i), size_of(j), percent)).select(*ends)
+    light = light.filter(fits(size_of(i), size_of(j), percent) & ~((kind_of(i) == SPARSE) & (kind_of(j) == SPARSE)))
+    first = F.col("src") < F.col("dst")
+    light = light.select(*ends, F.when(first, i).otherwise(j).alias("i"), F.when(first, j).otherwise(i).alias("j")).groupBy("src", "dst")
+    light = light.agg(F.count_if(kind_of(F.col("i")) != PAIR).alias("keys"), F.min("i").alias("i"), F.min("j").alias("j"))
+    return light.filter(F.col("keys") >= missing(F.col("i"), F.col("j"), percent)).select("src", "dst").union(whole)

@@ -20,6 +20,7 @@ from 0 and hold their pieces without gaps.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,16 +39,18 @@ QUANTUM = 8
 DEPTH = 3
 #: Rows that one task ranks, about.
 SALT_ROWS = 50_000
-#: Words remembered by a Python worker.
-MEMORY = 250_000
+#: Words in each of the two generations of a Python worker's memory.
+MEMORY = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds:
     """Ids of a text by the tokenizers library, asked once for each distinct word.
 
-    The vocabulary's pre-tokenizer drops white space and never joins over it,
-    so a text's ids are its words' ids one after another.
+    The vocabulary's normaliser lower-cases, and its pre-tokenizer drops white
+    space and never joins over it, so a text's ids are its words' ids one after
+    another.  The words' memory has two generations: what is asked for again
+    moves to the younger one, and a full younger one becomes the older.
     """
 
     def __init__(self, path: str):
@@ -57,19 +60,64 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # texts that may hold a special token are not lower-cased here: its spelling counts
+        self.special = list({t.content.encode()[:2] for t in self.library.get_added_tokens_decoder().values()})
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memory: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.stops = {p: self.ask([p])[0] for p in (b".", b",")}
+
+    def ask(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words from the library: those of letters all in one text, told apart by the ids that end a word."""
+        texts = [w.decode() for w in words]
+        letters = [t for t in texts if t.isalpha()]
+        ids = np.array(self.library.encode(" ".join(letters), add_special_tokens=False).ids, dtype="<u4")
+        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist() if len(ids) else []
+        if len(ends) != len(letters):  # a letter that the normaliser takes apart
+            return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        rest = [t for t in texts if not t.isalpha()]
+        found = dict(zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        out, start, raw = [], 0, ids.tobytes()
+        at = iter(ends)
+        for t in texts:
+            if t in found:
+                out.append(struct.pack(f"<{len(found[t])}I", *found[t].ids))
+            else:
+                end = next(at)
+                out.append(raw[4 * start : 4 * end])
+                start = end
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        """Take new words into the memory; a stop after an ASCII letter is a word of its own to the pre-tokenizer."""
+        memory, older = self.memory, self.older
+        stopped = {w: w[:-1] for w in words if len(w) > 1 and w[-1:] in self.stops and 97 <= w[-2] <= 122}
+        ask = []
+        for w in words.difference(stopped).union(stopped.values()):
+            if w not in memory:
+                if (known := older.get(w)) is None:
+                    ask.append(w)
+                else:
+                    memory[w] = known
+        if ask:
+            memory.update(zip(ask, self.ask(ask), strict=True))
+        for w, stem in stopped.items():
+            memory[w] = memory[stem] + self.stops[w[-1:]]
 
     def ids(self, text: str) -> np.ndarray:
-        words = text.encode().split()
-        memory = self.memory
-        new = [w for w in dict.fromkeys(words) if w not in memory]
+        raw = text.encode()
+        if not any(t in raw for t in self.special):
+            raw = raw.lower()
+        words = raw.split()
+        new = set(words).difference(self.memory)
         if new:
-            if len(memory) + len(new) > MEMORY:
-                memory.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.library.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                memory[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([memory[w] for w in words]), dtype="<u4")
+            if len(self.memory) + len(new) > MEMORY:
+                self.older, self.memory = self.memory, {}
+                new = set(words)
+            self.learn(new)
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, words)), dtype="<u4")
 
 
 _LOADED: dict[str, WordIds] = {}
