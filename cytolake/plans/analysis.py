@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotate, axis, cluster, denovo, diff, embed, enrich, matrix, smooth, views
+from ..operators import annotate, axis, cluster, denovo, diff, embed, enrich, logistic_pca, matrix, smooth, views
 from .core import FRACTION, M, SMOOTH, TILE, TILED, r6, tiled
 from .fixtures import view, with_views
 from .tables import saver
@@ -409,6 +409,18 @@ def red_pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores
 
 
+@query()
+def red_sparse_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loadings of three sparse logistic components of the cells' most variable tiles."""
+    m = tiled(spark, sf_dir)
+    top = matrix.top_variable(matrix.region_stats(m), 200, "var").select("region")  # a block of bounded width
+    binary = m.join(F.broadcast(top), "region").select("cell_id", "region", (F.col("mean") > 0.5).cast("double").alias("x")).toPandas()
+    wide = binary.pivot(index="cell_id", columns="region", values="x").sort_index(axis=0).sort_index(axis=1)
+    _, _, b = logistic_pca.fit(wide.to_numpy(), 3, 0.5)
+    rows = [(r, k + 1, float(b[i, k])) for i, r in enumerate(wide.columns) for k in range(b.shape[1])]
+    return spark.createDataFrame(rows, "region string, component long, loading double")
+
+
 @query("""WITH t AS (SELECT label_true AS a, label_pred AS b, CAST(count(*) AS DOUBLE) AS n FROM {cluster_labels} GROUP BY 1, 2), s AS (SELECT sum(n * (n - 1) / 2) AS bo, sum(n) AS total FROM t),
 l AS (SELECT sum(m * (m - 1) / 2) AS le FROM (SELECT sum(n) AS m FROM t GROUP BY a)), r AS (SELECT sum(m * (m - 1) / 2) AS ri FROM (SELECT sum(n) AS m FROM t GROUP BY b))
 SELECT round((bo - le * ri / (total * (total - 1) / 2)) / ((le + ri) / 2 - le * ri / (total * (total - 1) / 2)), 6) AS ari FROM s, l, r""")

@@ -128,3 +128,28 @@ def test_chrom_names_and_states(spark):
     assert [r[0] for r in share] == [1, -1, 0, None]
     with pytest.raises(ValueError):
         S.chrom_name(F.lit("x"), "other")
+
+
+def test_motif_scan(spark):
+    from cytolake.operators import motifs
+
+    counts = np.zeros((4, 6))
+    for k, c in enumerate("ACGTTA"):
+        counts["ACGT".index(c), k] = 20
+    rows = [("a", "ttttACGTTAtt"), ("b", "ccTAACGTcc"), ("c", "nn"), ("d", None)]
+    hits = motifs.scan(spark.createDataFrame(rows, "region string, sequence string"), {"m": counts}, 1e-3)
+    assert sorted((r.region, r.pos, r.strand) for r in hits.collect()) == [("a", 4, "+"), ("b", 2, "-")]
+    assert motifs.hit_matrix(hits).count() == 2
+
+
+def test_logistic_components_lower_the_loss():
+    from cytolake.operators import logistic_pca as L
+
+    rng = np.random.default_rng(3)
+    theta = 4 * np.outer(rng.choice([-1, 1], 60), np.r_[np.ones(10), np.zeros(10)])
+    x = (rng.random(theta.shape) < L.sigmoid(theta)).astype(float)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    mu, a, b = L.fit(x, 1, 1.0)
+    assert L.loss(x, mu + a @ b.T) < 0.7 * L.loss(x, np.broadcast_to(mu, x.shape))
+    assert np.abs(b[:10]).min() > 3 * np.abs(b[10:]).max()
+    assert L.choose_penalty(x, 1, (0.5, 1e6))[0] == 0.5
