@@ -21,8 +21,8 @@ component needs no link of its own.  The count of keys that a pair shares
 bounds its overlap from above, so pairs that share no more than a passage are
 never verified.
 
-Shingles are counted over all documents, those of the lower half of the
-hashes exactly: a prefix takes the lowest hashes first, so it rarely needs
+Shingles are counted over all documents, those of the lowest three
+eighths of the hashes exactly: a prefix takes the lowest hashes first, so it rarely needs
 others.  The frequent class is the most frequent of these; it only orders
 shingles, the result doesn't depend on it.  Those found in one document only
 give no key; a Bloom filter of a fixed size tells the others (what it lets pass
@@ -57,8 +57,8 @@ TOGETHER = 2
 DENSE = 12
 #: A shingle is frequent with this many documents.
 FREQUENT = 48
-#: Shingles are counted whose hash has this many leading zero bits.
-COUNTED_BITS = 1
+#: Shingles are counted whose hash is below this: three eighths of all.
+COUNTED = 3 << 61
 #: They are added up in windows of this many before the shuffle.
 COUNT_WINDOW = 2_000_000
 #: Most shingles in the frequent class; the others are ordered as rare ones.
@@ -71,6 +71,8 @@ PAGE = 1 << 12
 TURN_PARTS, TURNS = 8, ((0,), (1, 2), (3, 4, 5, 6, 7))
 #: Two components that meet in so many (key, member, member) are paired member by member, if that is less.
 HEAVY = 1024
+#: Sets that a task remembers while it verifies pairs.
+HELD_SETS = 2_000
 #: Most vertex ids sent to the executors at once; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -134,7 +136,9 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) > len(b):
+        a, b = b, a
+    both = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)) if len(a) else 0
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -153,7 +157,7 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for x in batch.column("text"):
                 s = shingles(x.as_py() or "")
-                held.append(s[: np.searchsorted(s, np.uint64(1 << (64 - COUNTED_BITS)))])
+                held.append(s[: np.searchsorted(s, np.uint64(COUNTED))])
                 size += len(held[-1])
                 if size >= COUNT_WINDOW:
                     yield counted()
@@ -225,7 +229,7 @@ def prefix_keys(s: np.ndarray, frequent: np.ndarray, seen: np.ndarray, percent:
     if least < TOGETHER or n < 4:  # smaller sets are linked with equal sets only
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8), 0
     length = min(n, n - least + TOGETHER)
-    counted = s[: np.searchsorted(s, np.uint64(1 << (64 - COUNTED_BITS)))]
+    counted = s[: np.searchsorted(s, np.uint64(COUNTED))]
     at = np.searchsorted(frequent, counted)
     often = frequent[np.minimum(at, len(frequent) - 1)] == counted if len(frequent) else np.zeros(len(counted), dtype=bool)
     # the global order: counted and rare, counted and frequent, not counted; each by hash
@@ -330,14 +334,20 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (src, dst) whose sets are linked, from their packed texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, dtype=np.uint64))
+        held: dict[bytes, np.ndarray] = {}
+
+        def of(packed: bytes) -> np.ndarray:
+            found = held.get(packed)
+            if found is None:
+                if len(held) >= HELD_SETS:
+                    held.clear()
+                found = held[packed] = shingles(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
+            return found
+
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                y = y.as_py()
-                if last[0] != y:
-                    last = (y, shingles(zlib.decompress(y).decode()))
-                keep[i] = linked(shingles(zlib.decompress(x.as_py()).decode()), last[1], percent)
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                keep[i] = linked(of(x), of(y), percent)
             yield batch.filter(pa.array(keep)).select(["src", "dst"])
 
     first = pairs.join(texts.select(F.col("v").alias("src"), F.col("packed").alias("x")), "src")
@@ -350,7 +360,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [zlib.compress((x.as_py() or "").encode("utf-8"), 3) for x in batch.column("text")]
+            packed = [zlib.compress((x.as_py() or "").encode("utf-8", "surrogatepass"), 3) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(packed, pa.binary())], names=["v", "packed"])
 
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
