@@ -40,7 +40,9 @@ DEPTH = 3
 #: Rows that one task ranks, about.
 SALT_ROWS = 50_000
 #: Words in each of the two generations of a Python worker's memory.
-MEMORY = 400_000
+MEMORY = 600_000
+#: Texts whose new words are asked for together.
+TOGETHER = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -106,18 +108,23 @@ class WordIds:
         for w, stem in stopped.items():
             memory[w] = memory[stem] + self.stops[w[-1:]]
 
-    def ids(self, text: str) -> np.ndarray:
-        raw = text.encode()
-        if not any(t in raw for t in self.special):
-            raw = raw.lower()
-        words = raw.split()
-        new = set(words).difference(self.memory)
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of some texts, whose new words are asked for together."""
+        split = []
+        for text in texts:
+            raw = text.encode()
+            split.append((raw if any(t in raw for t in self.special) else raw.lower()).split())
+        new = set().union(*split).difference(self.memory)
         if new:
             if len(self.memory) + len(new) > MEMORY:
                 self.older, self.memory = self.memory, {}
-                new = set(words)
+                new = set().union(*split)
             self.learn(new)
-        return np.frombuffer(b"".join(map(self.memory.__getitem__, words)), dtype="<u4")
+        known = self.memory.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), dtype="<u4") for words in split]
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -134,8 +141,8 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             texts, owners = batch.column("text"), batch.column("doc_id")
             rows, starts, lengths, sums, totals = [], [], [], [], []
-            for k in range(batch.num_rows):
-                ids = np.concatenate([library.ids(texts[k].as_py() or ""), end])
+            for k, ids in enumerate(i for at in range(0, batch.num_rows, TOGETHER) for i in library.many([x or "" for x in texts.slice(at, TOGETHER).to_pylist()])):
+                ids = np.concatenate([ids, end])
                 for at in range(0, len(ids), window):
                     piece = ids[at : at + window]
                     rows.append(k)
