@@ -43,8 +43,17 @@ def duck():
 
 def rows_of(frame):
     """Order-insensitive rows of a pandas frame, columns by name, nulls alike."""
+    import numbers
+
+    import pandas as pd
+
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: "" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+
+    def plain(v):
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
+            return ""
+        return repr(float(v)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
+
     return sorted(tuple(plain(v) for v in r) for r in frame.itertuples(index=False))
 
 
