@@ -326,6 +326,28 @@ def test_windows_and_memory():
     assert np.allclose(memory.texts([b"ab", b"", b"c"]), memory.texts([b"ab", b"", b"c"]))
 
 
+def test_counts_of_contexts_are_exact_at_any_size():
+    rng = np.random.default_rng(2)
+    # more contexts than any table of 2^22 slots tells apart, and a few that recur
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 48, 3_000_000, dtype=np.uint64) & ~np.uint64(0xFFFF000000) | np.uint64(0x4142000000), np.frombuffer(b"aabcde\0\0aabcdf\0\0xxbcde\0\0", dtype=">u8") >> np.uint64(16)]))
+    n = rng.integers(1, 5, len(keys))
+    high = mixing.high_counts(keys, n)
+    for at in [*rng.integers(0, len(keys), 5), *np.searchsorted(keys, np.frombuffer(b"aabcde\0\0xxbcde\0\0", dtype=">u8") >> np.uint64(16))]:
+        for order in range(3, 6):
+            own = keys >> np.uint64(8) & np.uint64((1 << 8 * order) - 1) == keys[at] >> np.uint64(8) & np.uint64((1 << 8 * order) - 1)
+            for bit in range(8):
+                node = own & ((keys & np.uint64(0xFF)) >> np.uint64(8 - bit) == (keys[at] & np.uint64(0xFF)) >> np.uint64(8 - bit))
+                ones = node & (mixing.bits_of(keys, bit) == 1)
+                assert high[order - 3, bit, at].tolist() == mixing.quantised(np.array([n[node & ~ones].sum(), n[ones].sum()])).tolist()
+
+
+def test_count_steps_reach_the_total_of_a_large_corpus():
+    n = np.array([0, 63, 64, 30_000_000_000, 10**15])
+    assert (mixing._STEPS[mixing.quantised(n)] > 0.9 * n - 1).all()
+    k = np.array([7, 9], dtype=np.uint64)
+    assert [int((mixing.cells(k, np.array([0, 200_000])) & np.uint64(0xFFFF)).astype(int).sum()), len(mixing.cells(k, np.array([0, 200_000])))] == [200_000, 5]
+
+
 # pipeline
 
 
