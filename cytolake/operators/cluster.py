@@ -29,36 +29,72 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside / total - resolution * square / (2 * total) ** 2
 
 
-def communities(edges: DataFrame, save, rounds: int = 20, resolution: float = 1.0) -> DataFrame:
-    """(id, community) by rounds of local moves that raise modularity (the first phase of Louvain).
+def _moves(both: DataFrame, nodes: DataFrame, twice: float, save, level: int, resolution: float) -> tuple[DataFrame, bool]:
+    """(id, k, community) after local moves from single nodes on until no node gains by one, and whether any moved.
+
+    In a round the nodes that gain join the neighbouring community with the
+    largest gain, a share of them by a hash that changes each round, so two
+    nodes rarely swap.  A round that doesn't raise modularity is taken back and
+    the share halved, at last to the one node with the largest advantage; so
+    modularity rises with each round that stays, and the rounds end.
+    """
 
-    In a round a node joins the neighbouring community with the largest gain;
-    only half of the nodes, by a hash that changes each round, may move, so two
-    nodes rarely swap.  ``save(df, name)`` writes and rereads a round's labels.
+    def quality(labels: DataFrame) -> float:
+        ends = both.join(labels.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
+        inside = ends.filter("a = b").agg(F.sum("weight")).first()[0] or 0.0
+        square = labels.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
+        return inside / twice - resolution * square / twice**2
+
+    labels = save(nodes.select("id", "k", F.col("id").alias("community")), f"labels_{level}_0")
+    now, moved, turn, halvings, wanted = quality(labels), False, 0, 1, None
+    while True:
+        turn += 1
+        if wanted is None:
+            mass = labels.groupBy("community").agg(F.sum("k").alias("tot"))
+            near = both.join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
+            own = labels.select("id", F.col("community").alias("c"), F.lit(0.0).alias("w"))
+            options = near.unionByName(own).groupBy("id", "c").agg(F.max("w").alias("w")).join(labels, "id").join(mass.withColumnRenamed("community", "c"), "c")
+            stays = F.col("c") == F.col("community")
+            rest = F.col("tot") - F.when(stays, F.col("k")).otherwise(F.lit(0.0))
+            scored = options.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / twice, 12))
+            best = scored.groupBy("id").agg(F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("b"), F.max(F.when(stays, F.col("gain"))).alias("now"))
+            wanted = save(best.filter("b.gain > now").select("id", (-F.col("b.c")).alias("to"), (F.col("b.gain") - F.col("now")).alias("more")), f"wanted_{level}_{turn}")
+            n = wanted.count()
+            if not n:
+                return labels, moved
+        one = 2**halvings > 2 * n
+        chosen = wanted.orderBy(F.desc("more"), "id").limit(1) if one else wanted.filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2**halvings)) == 0)
+        fresh = save(labels.join(chosen.select("id", "to"), "id", "left").select("id", "k", F.coalesce("to", "community").alias("community")), f"labels_{level}_{turn}")
+        then = quality(fresh)
+        if then > now:
+            labels, now, moved, halvings, wanted = fresh, then, True, max(1, halvings - 1), None
+        elif one:  # a gain below the precision of modularity
+            return labels, moved
+        else:
+            halvings += 1
+
+
+def communities(edges: DataFrame, save, resolution: float = 1.0) -> DataFrame:
+    """(id, community) by Louvain: local moves until no node gains, then communities become nodes, until none of these moves.
+
+    ``save(df, name)`` writes and rereads a table; names don't recur.
     """
     both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     both = save(both, "both")
-    degree = save(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "degree")
-    twice = degree.agg(F.sum("k")).first()[0] or 1.0
-    labels = save(degree.select("id", "k", F.col("id").alias("community")), "labels_0")
-    still = 0
-    for turn in range(1, rounds + 1):
-        mass = labels.groupBy("community").agg(F.sum("k").alias("tot"))
-        near = both.join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
-        own = labels.withColumn("c", F.col("community")).select("id", "c").join(near, ["id", "c"], "left").select("id", "c", F.coalesce("w", F.lit(0.0)).alias("w"))
-        options = near.unionByName(own).groupBy("id", "c").agg(F.max("w").alias("w")).join(labels, "id").join(mass.withColumnRenamed("community", "c"), "c")
-        rest = F.col("tot") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(F.lit(0.0))
-        scored = options.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / twice, 12))
-        best = scored.groupBy("id").agg(F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("b"))
-        free = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
-        moved = labels.join(best, "id").select("id", "k", F.col("community").alias("old"), F.when(free, -F.col("b.c")).otherwise(F.col("community")).alias("community"))
-        fresh = save(moved, f"labels_{turn}")
-        changed = fresh.filter("old <> community").limit(1).count()
-        labels = fresh.select("id", "k", "community")
-        still = 0 if changed else still + 1
-        if still == 4:  # each node may have moved in some of these rounds
-            break
-    return labels.select("id", "community")
+    nodes = save(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "degree")
+    twice = nodes.agg(F.sum("k")).first()[0] or 1.0
+    both = both.filter("src <> dst")  # a node's own loop moves with it
+    found, level = nodes.select("id", F.col("id").alias("community")), 0
+    while True:
+        labels, moved = _moves(both, nodes, twice, save, level, resolution)
+        if not moved:
+            return found
+        level += 1
+        step = labels.select(F.col("id").alias("community"), F.col("community").alias("up"))
+        found = save(found.join(step, "community").select("id", F.col("up").alias("community")), f"found_{level}")
+        ends = both.join(labels.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
+        nodes = save(labels.groupBy(F.col("community").alias("id")).agg(F.sum("k").alias("k")), f"nodes_{level}")
+        both = save(ends.filter("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")), f"both_{level}")
 
 
 def linkage(d: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:

@@ -103,6 +103,23 @@ def test_two_cliques(spark, tmp_path):
     assert cluster.modularity(df, labels) > 0.4
 
 
+def test_no_two_communities_gain_by_joining(spark, tmp_path):
+    pairs = [(i, (i + 1) % 32) for i in range(32)]
+    df = spark.createDataFrame([(min(p), max(p), 1.0) for p in pairs], "src long, dst long, weight double")
+
+    def save(t, name):
+        t.write.mode("error").parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    label = {r.id: r.community for r in cluster.communities(df, save).collect()}
+    size = {c: 2 * sum(v == c for v in label.values()) for c in label.values()}
+    between = {frozenset((label[a], label[b])) for a, b in pairs if label[a] != label[b]}
+    assert between
+    for a, b in map(tuple, between):
+        shared = sum({label[x], label[y]} == {a, b} for x, y in pairs)
+        assert shared <= size[a] * size[b] / 64
+
+
 def test_distances_and_ranks():
     x = np.array([[1.0, 2.0, 2.0, 5.0]])
     assert embed._ranks(x).tolist() == [[1.0, 2.5, 2.5, 4.0]]
