@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Regular expression of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-#: Used only where the session names no shared folder (tests on one machine).
-FALLBACK_SHARED = "/tmp/checkpoints"
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
+ONE_MACHINE = "/tmp/checkpoints"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +31,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (named or ONE_MACHINE).rstrip("/")
 
 
 class Stage:
@@ -44,7 +49,15 @@ class Stage:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        return self._written(df, f"{self.root}/{name}")
+
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a run's result beside its other tables, and remove these."""
+        out = self._written(df, f"{self.root}-{name}")
+        self.drop()
+        return out
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -55,6 +68,17 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes, compressed byte place by byte place, after their size."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
+    return x.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -1,51 +1,51 @@
 """Exact Jaccard join of documents' five-word shingle sets, and its components.
 
-Documents with equal sets are one vertex.  The others meet through the keys of
-an extended prefix: a set's shingles are put in one global order, first those
-of the rare class (by hash), then those of the frequent class, then those that
-are not counted (below); two sets with
-Jaccard similarity s share at least k of their first ``n - ceil(s * n) + k``
-shingles.  With k = 2, either a rare shingle is among the shared ones, so single
-rare shingles are keys; or all are frequent, and pairs of frequent shingles are
+Shingles are put in one global order: those that no other set has, then the
+others by the number of sets that have them.  Two sets with Jaccard similarity
+s share at least k of their first ``n - ceil(s * n) + k`` shingles, and of what
+they share, at most what lies behind the first shared place of either set.
+With k = 2, either the first shared shingle is rare, so single rare shingles
+are keys; or the first two are frequent, and pairs of frequent shingles are
 keys.  A set with many frequent shingles in its prefix (a member of a large
-group of near copies, whose shingles are all frequent) gives its frequent
-shingles singly, and the others give theirs singly as well, to meet these only.
-
-A key's bucket is not expanded into pairs.  First its members are verified
-against one of them (the hub), which links groups of copies by stars; for the
-dense sets this is repeated with other hubs, each time only where member and
-hub are in different components yet, so a member of a large group meets a few
-others until one is linked with it.  At last only members of different
-components are paired, counted and verified, which is exact: a pair within a
-component needs no link of its own.  The count of keys that a pair shares
-bounds its overlap from above, so pairs that share no more than a passage are
-never verified.
-
-Shingles are counted over all documents, those of the lowest three
-eighths of the hashes exactly: a prefix takes the lowest hashes first, so it rarely needs
-others.  The frequent class is the most frequent of these; it only orders
-shingles, the result doesn't depend on it.  Those found in one document only
-give no key; a Bloom filter of a fixed size tells the others (what it lets pass
-wrongly is a key that nobody shares).
+group of near copies) gives these singly, and the others give theirs singly as
+well, to meet such sets only.  A key carries the number of shingles from its
+place on; a pair that meets in it can be linked only if both numbers reach the
+overlap that their sizes ask for.  A set whose prefix nobody else touches has
+no key.  As unshared shingles come first, members of a group that differ too
+much from everything else drop out here, however large the group is.
+
+The counts are exact and nothing of them is broadcast.  A task numbers its
+documents in blocks, and sends each distinct shingle of a block once to the
+shingle's range; the range tells each block what others have as well.  This is
+done in two rounds: first with the lowest three eighths of the hashes of all
+documents, which is enough to see that most sets have too many shingles of
+their own to be linked with any other set; then with all shingles of the rest,
+one set of each group of equal ones.
+
+A key's bucket is not expanded into pairs.  Its members are verified against
+one of them (the hub), and those linked are one component; this is repeated
+with other hubs while many members of a bucket are apart.  At last each member
+outside its bucket's largest component is paired with the members of other
+components.  This is exact: a pair within a component needs no link of its own.
 
 Defined cases: null or empty texts, and texts without words, have an empty set
 and are linked with nothing; a text of one to four words has one shingle;
-repeated rows have equal sets and are linked; rows that share a doc_id are one
-vertex per set; a null doc_id gets the component of its equals (null without
-any).  Hashes have 64 bits, vertices 128.
+repeated rows have equal sets and are linked; rows that share a doc_id but not
+their set are linked only as their sets are; a null doc_id gets the component
+of its equals (null without any).  Shingle hashes have 64 bits, sets 128.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, packed, unpacked
 from .graph import components
 
 WORDS = 5
@@ -55,25 +55,25 @@ PERCENT = 80
 TOGETHER = 2
 #: A set with more frequent shingles in its prefix gives them singly.
 DENSE = 12
-#: A shingle is frequent with this many documents.
+#: A shingle is frequent with this many sets.
 FREQUENT = 48
-#: Shingles are counted whose hash is below this: three eighths of all.
-COUNTED = 3 << 61
-#: They are added up in windows of this many before the shuffle.
-COUNT_WINDOW = 2_000_000
-#: Most shingles in the frequent class; the others are ordered as rare ones.
-FREQUENT_MOST = 1_000_000
-#: Bits and hashes of the filter of shingles found at least twice.
-SEEN_BITS, SEEN_HASHES = 1 << 25, 3
-#: Words of the filter that are sent to the driver in one row.
-PAGE = 1 << 12
-#: The keys of dense sets, in parts by hash, that the repeated stars use one after another.
-TURN_PARTS, TURNS = 8, ((0,), (1, 2), (3, 4, 5, 6, 7))
-#: Two components that meet in so many (key, member, member) are paired member by member, if that is less.
-HEAVY = 1024
+#: The first round takes shingles whose hash is below this: three eighths of all.
+SAMPLE = 3 << 61
+#: Shingles and sets of a block (places have 16 bits), and shingles of a range, about.
+BLOCK_SHINGLES, BLOCK_SETS, RANGE_SHINGLES = 1 << 21, (1 << 16) - 1, 1 << 20
+#: Bytes of text for each shingle of the first round, about.
+SAMPLE_BYTES = 16
+#: Place of a shingle that several sets of its block have.
+SEVERAL = (1 << 16) - 1
+#: Hubs are taken again while the pairs of a bucket that are apart are so many times its members.
+APART = 4
+#: Pairs with one hub that are verified in one task.
+HUB_PAIRS = 4096
+#: Members of a bucket that an outsider meets in one task.
+BUCKET_PART = 8192
 #: Sets that a task remembers while it verifies pairs.
-HELD_SETS = 2_000
-#: Most vertex ids sent to the executors at once; beyond it they are joined by a shuffle.
+HELD_SETS = 500
+#: Most rows sent to the executors at once; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -130,11 +130,21 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mix(h))
 
 
+def fingerprint(s: np.ndarray) -> bytes:
+    """128 bits that tell a set of shingles."""
+    return int(np.sum(s, dtype=np.uint64)).to_bytes(8, "big") + int(np.sum(mix(s ^ np.uint64(_ODD)), dtype=np.uint64)).to_bytes(8, "big")
+
+
 def least_overlap(n: int, percent: int) -> int:
     """Shingles that a set of n shares at least with any set it is linked with."""
     return -(-percent * n // 100)
 
 
+def has_partners(n: int, percent: int) -> bool:
+    """Whether a set of n can be linked with a set of another size; smaller ones are linked with equal sets only."""
+    return 100 * n >= percent * (n + 1)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
@@ -142,314 +152,395 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def shared_shingles(docs: DataFrame) -> DataFrame:
-    """(h, n): the counted shingles that at least two documents have, with the number of these."""
+def class_of(h: np.ndarray) -> np.ndarray:
+    """What of a shingle's hash is counted: its upper 48 bits."""
+    return h >> np.uint64(16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
 
-        def counted() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+def range_of(classes: np.ndarray, ranges: int, top: int) -> np.ndarray:
+    """The range of each class; ``top`` is the end of all hashes."""
+    return ((classes >> np.uint64(16)) * np.uint64(ranges) // np.uint64(top >> 32)).astype(np.int64)
 
-        for batch in batches:
-            for x in batch.column("text"):
-                s = shingles(x.as_py() or "")
-                held.append(s[: np.searchsorted(s, np.uint64(COUNTED))])
-                size += len(held[-1])
-                if size >= COUNT_WINDOW:
-                    yield counted()
-                    size = 0
-        if held:
-            yield counted()
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+def cell_rows(classes: np.ndarray, notes: np.ndarray, ranges: int, top: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(range, classes, notes) of a block's ascending classes, cut by ranges and packed."""
+    at = range_of(classes, ranges, top)
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)] if len(at) else [0]
+    for f, e in zip(cuts, cuts[1:]):
+        yield int(at[f]), packed(np.diff(classes[f:e], prepend=np.uint64(0))), notes[f:e].tobytes()
+
+
+def classes_of(row: bytes) -> np.ndarray:
+    """The classes that ``cell_rows`` packed."""
+    return np.cumsum(unpacked(row), dtype=np.uint64)
+
 
+def block_number(count: int, bits: int) -> int:
+    """A number that no other block of this pass has."""
+    return TaskContext.get().partitionId() << bits | count
 
-def frequent_shingles(shared: DataFrame) -> np.ndarray:
-    """Sorted hashes of the frequent class."""
-    found = shared.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).select("h").toPandas()
-    return np.sort(found["h"].to_numpy(dtype=np.int64).view(np.uint64))
 
+def batch_of(fields: dict[str, pa.DataType], rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in fields.items()], names=list(fields))
 
-def _seen_places(h: np.ndarray) -> Iterator[np.ndarray]:
-    other = mix(h ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-    for k in range(SEEN_HASHES):
-        yield (mix(h + np.uint64(k)) + np.uint64(k) * other) & np.uint64(SEEN_BITS - 1)
 
+FIRST = {"block": pa.int64(), "place": pa.int32(), "owner": pa.int32(), "key": pa.int64(), "doc_id": pa.int64(), "g": pa.binary(), "n": pa.int64(), "own": pa.int64(), "range": pa.int64(), "classes": pa.binary(), "notes": pa.binary()}
+FIRST_SCHEMA = "block long, place int, owner int, key long, doc_id long, g binary, n long, own long, range long, classes binary, notes binary"
 
-def seen_filter(stage: Stage, shared: DataFrame) -> np.ndarray:
-    """Bloom filter of the shared shingles, as 64-bit words; gathered by words, of a fixed size."""
+
+def first_round(docs: DataFrame, ranges: int) -> DataFrame:
+    """Rows of two kinds: documents in blocks (range is null), and the sampled classes of a block in a range (key is null).
+
+    Equal sets of a block are one; ``owner`` is the place of the first of
+    them, and ``own`` the number of its sampled classes that no other set of the block has.
+    The notes are the places of the classes' owners.
+    """
+    most_shingles, most_sets = BLOCK_SHINGLES, BLOCK_SETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.unique(np.concatenate(list(_seen_places(h))))
-            word, first = np.unique(at >> np.uint64(6), return_index=True)
-            value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "value"])
+        rows: list[dict] = []
+        held: list[np.ndarray] = []
+        owners: dict[bytes, int] = {}
+        places: list[int] = []
+        size = blocks = 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal size, blocks
+            number = block_number(blocks, 30)
+            classes, owner = np.concatenate([np.zeros(0, np.uint64), *held]), np.repeat(np.array(places, dtype=np.int64), [len(x) for x in held])
+            order = np.argsort(classes, kind="stable")
+            classes, owner = classes[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])) if len(classes) else order
+            alone = np.diff(first, append=len(classes)) == 1
+            classes, owner = classes[first], np.where(alone, owner[first], SEVERAL)
+            own = np.bincount(owner[alone], minlength=len(rows))
+            for r in rows:
+                r |= {"block": number, "own": int(own[r["place"]])}
+            rows.extend({"block": number, "range": r, "classes": c, "notes": o} for r, c, o in cell_rows(classes, owner.astype("<u2"), ranges, SAMPLE))
+            out = batch_of(FIRST, rows)
+            for x in (rows, held, owners, places):
+                x.clear()
+            size, blocks = 0, blocks + 1
+            return out
 
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("word", "value"))
-            order = np.argsort(word)
-            word, value = word[order], value[order]
-            page, first = np.unique(word // PAGE, return_index=True)
-            ends = [*first[1:], len(word)]
-            cells = [(word[f:e] % PAGE).astype("<u2").tobytes() + value[f:e].astype("<i8").tobytes() for f, e in zip(first, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(page), pa.array(cells, pa.binary())], names=["page", "cells"])
-
-    found = shared.select("h").mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
-    found = stage.save(found.mapInArrow(pages, "page long, cells binary"), "seen")
-    words = np.zeros(SEEN_BITS // 64, dtype=np.uint64)
-    for r in found.toLocalIterator():
-        m = len(r["cells"]) // 10
-        at = np.frombuffer(r["cells"], dtype="<u2", count=m).astype(np.int64) + r["page"] * PAGE
-        words[at] = np.frombuffer(r["cells"], dtype="<u8", offset=2 * m)
-    return words
-
-
-def seen_twice(h: np.ndarray, words: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(h), dtype=bool)
-    for at in _seen_places(h):
-        ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return ok
+            for key, doc_id, x in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                s = shingles(x.as_py() or "")
+                g, place = fingerprint(s), len(rows)
+                if owners.setdefault(g, place) == place and has_partners(len(s), PERCENT_LEAST):
+                    held.append(np.unique(class_of(s[: np.searchsorted(s, np.uint64(SAMPLE))])))
+                    places.append(place)
+                    size += len(held[-1])
+                rows.append({"place": place, "owner": owners[g], "key": key, "doc_id": doc_id, "g": g, "n": len(s)})
+                if size >= most_shingles or len(rows) >= most_sets:
+                    yield block()
+        if rows:
+            yield block()
 
+    return docs.select("key", "doc_id", "text").mapInArrow(run, FIRST_SCHEMA)
 
-#: Kinds of keys: a rare shingle; a frequent one of a set that gives pairs, or of a dense set; a pair.
-RARE, SPARSE, DENSE_ONE, PAIR = 0, 1, 2, 3
 
+#: The least similarity that the join takes: below it, sets that share one shingle only could be linked.
+PERCENT_LEAST = 67
 
-def prefix_keys(s: np.ndarray, frequent: np.ndarray, seen: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys of a set's extended prefix, their kinds, and how many of its shingles are frequent."""
-    n = len(s)
-    least = least_overlap(n, percent)
-    if least < TOGETHER or n < 4:  # smaller sets are linked with equal sets only
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8), 0
-    length = min(n, n - least + TOGETHER)
-    counted = s[: np.searchsorted(s, np.uint64(COUNTED))]
-    at = np.searchsorted(frequent, counted)
-    often = frequent[np.minimum(at, len(frequent) - 1)] == counted if len(frequent) else np.zeros(len(counted), dtype=bool)
-    # the global order: counted and rare, counted and frequent, not counted; each by hash
-    rare = counted[~often][:length]
-    common = counted[often][: length - len(rare)]
-    rest = s[len(counted) :][: length - len(rare) - len(common)]
-    rare = np.concatenate([rare[seen_twice(rare, seen)], rest])
-    kinds = [np.full(len(rare), RARE, dtype=np.int8)]
-    keys = [rare]
-    if len(common):
-        dense = len(common) > DENSE
-        keys.append(mix(common ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        kinds.append(np.full(len(common), DENSE_ONE if dense else SPARSE, dtype=np.int8))
-        if not dense and len(common) >= TOGETHER:
-            i, j = np.triu_indices(len(common), 1)
-            keys.append(mix(common[i] * np.uint64(3) + mix(common[j])))
-            kinds.append(np.full(len(i), PAIR, dtype=np.int8))
-    return np.concatenate(keys), np.concatenate(kinds), len(common)
 
+def known_elsewhere(cells: DataFrame) -> DataFrame:
+    """(block, places): for every class that several blocks have, the place of its owner in each block where it has only one."""
 
-SIGNATURES = "doc_id long, n long, often long, a long, b long, keys binary, kinds binary"
+    def run(table: pa.Table) -> pa.Table:
+        classes = [classes_of(x.as_py()) for x in table.column("classes")]
+        place = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table.column("notes")])
+        row = np.repeat(np.arange(len(classes)), [len(c) for c in classes])
+        classes = np.concatenate(classes)
+        order = np.argsort(classes, kind="stable")
+        again = classes[order][1:] == classes[order][:-1]
+        shared = np.zeros(len(classes), dtype=bool)
+        shared[order[1:][again]] = shared[order[:-1][again]] = True
+        shared &= place != SEVERAL
+        found = [(b, place[lo:hi][shared[lo:hi]]) for b, lo, hi in zip(table.column("block").to_pylist(), *spans(row, table.num_rows), strict=True)]
+        found = [(b, p.tobytes()) for b, p in found if len(p)]
+        return pa.Table.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], names=["block", "places"])
 
+    return cells.select("block", "range", "classes", "notes").groupBy("range").applyInArrow(run, "block long, places binary")
 
-def signatures(docs: DataFrame, frequent: np.ndarray, seen: np.ndarray, percent: int) -> DataFrame:
-    """Set size, 128-bit fingerprint of the set, and prefix keys of every document."""
-    held = docs.sparkSession.sparkContext.broadcast((frequent, seen))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, often, a, b, keys, kinds = [], [], [], [], [], []
-            for x in batch.column("text"):
-                s = shingles(x.as_py() or "")
-                n.append(len(s))
-                a.append(int(np.sum(s, dtype=np.uint64).view(np.int64)))
-                b.append(int(np.sum(mix(s ^ np.uint64(_ODD)), dtype=np.uint64).view(np.int64)))
-                k, t, f = prefix_keys(s, *held.value, percent)
-                often.append(f)
-                keys.append(k.tobytes())
-                kinds.append(t.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(often, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(kinds, pa.binary())],
-                names=["doc_id", "n", "often", "a", "b", "keys", "kinds"],
-            )
+def spans(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of each of n runs in an ascending array of their numbers."""
+    return np.searchsorted(row, np.arange(n)), np.searchsorted(row, np.arange(n), side="right")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURES)
 
+def undecided(found: DataFrame, elsewhere: DataFrame, percent: int) -> DataFrame:
+    """(g, key, n): sets with too few shingles of their own to be sure that they are linked with no other set."""
 
-#: Bits of a key's kind and of the number of frequent shingles, below the set's size in one long.
-KIND_BITS, OFTEN_BITS = 2, 24
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        place, n, own = (left.column(c).to_numpy().astype(np.int64) for c in ("place", "n", "own"))
+        back = np.frombuffer(b"".join(right.column("places").to_pylist()), "<u2").astype(np.int64)
+        own = own - np.bincount(back, minlength=int(place.max(initial=0)) + 1)[place]
+        # without the shingles of its own, such a set can still reach the least overlap
+        keep = (place == left.column("owner").to_numpy()) & (100 * n >= percent * (n + 1)) & (own <= n + (-percent * n // 100))
+        return left.filter(pa.array(keep)).select(["g", "key", "n"])
 
+    columns = found.select("block", "place", "owner", "g", "key", "n", "own")
+    return columns.groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(run, "g binary, key long, n long")
 
-def exploded(vertices: DataFrame) -> DataFrame:
-    """A row a key of each vertex: key, v, and its size, frequent shingles and the key's kind in one long."""
+
+SECOND = {"block": pa.int64(), "v": pa.int64(), "g": pa.binary(), "n": pa.int64(), "shingles": pa.binary(), "range": pa.int64(), "classes": pa.binary(), "notes": pa.binary()}
+SECOND_SCHEMA = "block long, v long, g binary, n long, shingles binary, range long, classes binary, notes binary"
+
+
+def second_round(docs: DataFrame, ranges: int) -> DataFrame:
+    """Rows of two kinds: the sets of the wanted documents as vertices, in blocks (range is null), and the classes of a block in a range, with how many sets of the block have them."""
+    most_shingles, most_sets = BLOCK_SHINGLES // 2, BLOCK_SETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column("keys")]
-            if not keys:
-                continue
-            times = np.array([len(k) for k in keys])
-            kinds = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int8) for x in batch.column("kinds")]).astype(np.int64)
-            v = np.repeat(batch.column("v").to_numpy(zero_copy_only=False), times)
-            n, often = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "often"))
-            info = (n << OFTEN_BITS | np.minimum(often, (1 << OFTEN_BITS) - 1)) << KIND_BITS
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(v), pa.array(np.repeat(info, times) | kinds)], names=["key", "v", "info"])
+        rows: list[dict] = []
+        held: list[np.ndarray] = []
+        size = blocks = 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal size, blocks
+            number = block_number(blocks, 20)
+            for place, r in enumerate(rows):
+                r |= {"block": number, "v": number << 16 | place}
+            classes, times = np.unique(np.concatenate([np.unique(class_of(s)) for s in held]), return_counts=True)
+            rows.extend({"block": number, "range": r, "classes": c, "notes": t} for r, c, t in cell_rows(classes, times.astype("<u2"), ranges, 1 << 64))
+            out = batch_of(SECOND, rows)
+            for x in (rows, held):
+                x.clear()
+            size, blocks = 0, blocks + 1
+            return out
 
-    return vertices.select("v", "n", "often", "keys", "kinds").mapInArrow(run, "key long, v long, info long")
+        for batch in batches:
+            for g, x in zip(batch.column("g").to_pylist(), batch.column("text"), strict=True):
+                s = shingles(x.as_py() or "")
+                if fingerprint(s) != g:  # another text with this row's key
+                    continue
+                rows.append({"g": g, "n": len(s), "shingles": s.tobytes()})
+                held.append(s)
+                size += len(s)
+                if size >= most_shingles or len(rows) >= most_sets:
+                    yield block()
+        if rows:
+            yield block()
+
+    return docs.select("g", "text").mapInArrow(run, SECOND_SCHEMA)
+
+
+def shared_counts(cells: DataFrame) -> DataFrame:
+    """(block, classes, counts): the classes of each block that at least two sets have, with the number of these."""
+
+    def run(table: pa.Table) -> pa.Table:
+        classes = [classes_of(x.as_py()) for x in table.column("classes")]
+        times = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table.column("notes")]).astype(np.int64)
+        row = np.repeat(np.arange(len(classes)), [len(c) for c in classes])
+        classes = np.concatenate(classes)
+        _, inverse = np.unique(classes, return_inverse=True)
+        total = np.bincount(inverse, weights=times).astype(np.int64)[inverse]
+        found = []
+        for b, lo, hi in zip(table.column("block").to_pylist(), *spans(row, table.num_rows), strict=True):
+            keep = total[lo:hi] > 1
+            if keep.any():
+                found.append((b, classes[lo:hi][keep].tobytes(), total[lo:hi][keep].tobytes()))
+        return pa.Table.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["block", "classes", "counts"])
+
+    return cells.select("block", "range", "classes", "notes").groupBy("range").applyInArrow(run, "block long, classes binary, counts binary")
 
 
-def kind_of(info: Column) -> Column:
-    return info.bitwiseAND(F.lit((1 << KIND_BITS) - 1).cast("long"))
+#: Kinds of keys: a rare shingle; a frequent one of a set that gives pairs, or of a dense set; a pair.
+RARE, SPARSE, DENSE_ONE, PAIR = 0, 1, 2, 3
 
 
-def size_of(info: Column) -> Column:
-    return F.shiftrightunsigned(info, OFTEN_BITS + KIND_BITS)
+def prefix_keys(s: np.ndarray, classes: np.ndarray, counts: np.ndarray, percent: int, frequent: int = FREQUENT, most: int = DENSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set's extended prefix, how many of its shingles lie from each key's place on, and the keys' kinds.
 
+    ``classes`` (ascending) and ``counts`` tell what at least two sets have;
+    those of ``frequent`` sets or more are frequent, and a set with over ``most`` of them is dense.
+    """
+    n = len(s)
+    single = n - least_overlap(n, percent) + 1
+    at = np.minimum(np.searchsorted(classes, class_of(s)), max(0, len(classes) - 1))
+    shared = np.flatnonzero(classes[at] == class_of(s)) if len(classes) else np.zeros(0, dtype=np.int64)
+    often = counts[at[shared]] if len(shared) else np.zeros(0, dtype=np.int64)
+    order = np.lexsort((s[shared], often))[: max(0, single + TOGETHER - 1 - (n - len(shared)))]
+    h, often = s[shared][order], often[order]
+    place = n - len(shared) + np.arange(len(h))
+    rare = (often < frequent) & (place < single)
+    keys, left, kinds = [h[rare]], [n - place[rare]], [np.full(np.count_nonzero(rare), RARE, dtype=np.int8)]
+    common, where = h[often >= frequent], place[often >= frequent]
+    if len(common):
+        dense = len(common) > most
+        begin = where < single
+        keys.append(mix(common[begin] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        left.append(n - where[begin])
+        kinds.append(np.full(np.count_nonzero(begin), DENSE_ONE if dense else SPARSE, dtype=np.int8))
+        if not dense:
+            i, j = np.triu_indices(len(common), 1)
+            keys.append(mix(common[i] * np.uint64(3) + mix(common[j])))
+            left.append(n - where[j] + 1)
+            kinds.append(np.full(len(i), PAIR, dtype=np.int8))
+    return np.concatenate(keys), np.concatenate(left), np.concatenate(kinds)
 
-def often_of(info: Column) -> Column:
-    return F.shiftrightunsigned(info, KIND_BITS).bitwiseAND(F.lit((1 << OFTEN_BITS) - 1).cast("long"))
 
+def bucket_rows(sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """A row a key of each vertex: key, v, the set's size n, its shingles from the key's place on, and the key's kind."""
+    frequent, most = FREQUENT, DENSE
 
-def missing(info_a: Column, info_b: Column, percent: int) -> Column:
-    """Single keys that two sets have to share at least to be linked, given their sizes and frequent shingles.
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        classes, total = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("classes", "<u8"), ("counts", "<i8")))
+        order = np.argsort(classes)
+        classes, total = classes[order], total[order]
+        out: list[tuple[np.ndarray, ...]] = []
+        for v, x in zip(left.column("v").to_pylist(), left.column("shingles"), strict=True):
+            s = np.frombuffer(x.as_py(), "<u8")
+            k, rest, kinds = prefix_keys(s, classes, total, percent, frequent, most)
+            out.append((k.view(np.int64), np.full(len(k), v), np.full(len(k), len(s)), rest, kinds))
+        types = {"key": np.int64, "v": np.int64, "n": np.int64, "rest": np.int64, "kind": np.int8}
+        return pa.Table.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *(r[i] for r in out)]).astype(t)) for i, t in enumerate(types.values())], names=list(types))
 
-    Of the set whose prefix ends first in the global order, the overlap holds
-    at most the shared part of the prefix and all that is behind it.  Two
-    sparse sets don't show single frequent shingles to each other.
-    """
-    n, m = size_of(info_a), size_of(info_b)
-    needed = F.ceil((n + m) * percent / (100 + percent))
-    behind = F.greatest(F.lit(0).cast("long"), F.ceil(F.greatest(n, m) * percent / 100) - TOGETHER)
-    sparse = F.greatest(often_of(info_a), often_of(info_b)) <= DENSE
-    return needed - behind - F.when(sparse, F.least(often_of(info_a), often_of(info_b))).otherwise(0)
+    return sets.select("block", "v", "shingles").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, "key long, v long, n long, rest long, kind byte")
 
 
-def fits(n: Column, m: Column, percent: int) -> Column:
-    """Whether two sets of these sizes can be linked at all."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def meet(a: str, b: str, percent: int) -> Column:
+    """Whether two members of a bucket may be linked: what lies behind the key reaches the overlap that their sizes ask for."""
+    x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
+    reach = F.least(x("rest"), y("rest")) * (100 + percent) >= (x("n") + y("n")) * percent
+    return reach & ~((x("kind") == SPARSE) & (y("kind") == SPARSE))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (src, dst) whose sets are linked, from their packed texts."""
+def small(rows: DataFrame) -> DataFrame:
+    """The rows, broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, np.ndarray] = {}
 
-        def of(packed: bytes) -> np.ndarray:
-            found = held.get(packed)
-            if found is None:
-                if len(held) >= HELD_SETS:
-                    held.clear()
-                found = held[packed] = shingles(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
-            return found
+def verified(stage: Stage, pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (src, dst) whose sets are linked.  The set of a src is sent once for each ``HUB_PAIRS`` pairs of it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                keep[i] = linked(of(x), of(y), percent)
+            for i, (src, x, y) in enumerate(zip(batch.column("src").to_pylist(), batch.column("x"), batch.column("y"), strict=True)):
+                if src not in held:
+                    if len(held) >= HELD_SETS:
+                        held.clear()
+                    held[src] = np.frombuffer(x.as_py(), "<u8")
+                keep[i] = linked(held[src], np.frombuffer(y.as_py(), "<u8"), percent)
             yield batch.filter(pa.array(keep)).select(["src", "dst"])
 
-    first = pairs.join(texts.select(F.col("v").alias("src"), F.col("packed").alias("x")), "src")
-    both = first.join(texts.select(F.col("v").alias("dst"), F.col("packed").alias("y")), "dst")
-    return both.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
+    pairs = stage.save(pairs, f"{name}_pairs")
+    parts = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("parts"))
+    first = parts.select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets.select(F.col("v").alias("src"), F.col("shingles").alias("x")), "src")
+    second = pairs.join(parts, "src").withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")))
+    second = second.join(sets.select(F.col("v").alias("dst"), F.col("shingles").alias("y")), "dst").select("src", "part", "dst", "y")
+    both = second.join(first, ["src", "part"])
+    return stage.save(both.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long"), name)
 
 
-def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Packed texts of the wanted vertices; ``wanted`` (v) is broadcast only if it is small."""
+def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of a bucket's hub with the members that are in other components (c).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [zlib.compress((x.as_py() or "").encode("utf-8", "surrogatepass"), 3) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(packed, pa.binary())], names=["v", "packed"])
+    At first the hub is the member with the most shingles behind the key, which
+    is likely to be nearest to all others; in later turns each bucket has one by chance.
+    """
+    order = F.struct((F.col("n") - F.col("rest")).alias("at"), F.col("v").alias("by")) if turn == 0 else F.struct(F.lit(0).alias("at"), F.xxhash64("key", "v", F.lit(turn)).alias("by"))
+    hub = F.struct((F.col("kind") == SPARSE).alias("sparse"), order.alias("order"), *[F.col(c).alias(f"hub_{c}") for c in ("v", "c", "n", "rest", "kind")])
+    hubs = rows.groupBy("key").agg(F.min(hub).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key", "hub.*")
+    met = rows.select("key", *[F.col(c).alias(f"own_{c}") for c in ("v", "c", "n", "rest", "kind")]).join(hubs, "key")
+    return met.filter((F.col("own_c") != F.col("hub_c")) & meet("own_", "hub_", percent)).select(F.col("hub_v").alias("src"), F.col("own_v").alias("dst")).distinct()
+
+
+def pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of bucket members of different components that may be linked.
 
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = docs.select(F.col("doc_id").cast("long").alias("v"), "text").join(side, "v")
-    return rows.select("v", "text").mapInArrow(run, "v long, packed binary")
+    Members outside the bucket's largest component meet all others, which are
+    dealt to parts of a bounded size.
+    """
+    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    heads = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    heads = heads.select("key", F.col("most.c").alias("main"), F.ceil(F.col("all") / BUCKET_PART).alias("parts"))
+    open_ = rows.join(heads, "key")
+    fields = ("v", "c", "n", "rest", "kind")
+    outside = open_.filter("c <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    left = outside.select("key", "part", *[F.col(x).alias(f"a_{x}") for x in fields])
+    right = open_.select("key", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), (F.col("c") == F.col("main")).alias("inside"), *[F.col(x).alias(f"b_{x}") for x in fields])
+    other = (F.col("a_c") != F.col("b_c")) & (F.col("inside") | (F.col("a_v") < F.col("b_v")))
+    met = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & other & meet("a_", "b_", percent))
+    return met.select(F.least("a_v", "b_v").alias("src"), F.greatest("a_v", "b_v").alias("dst")).distinct()
+
+
+def apart(rows: DataFrame) -> tuple[int, int]:
+    """Pairs of bucket members in different components, and members of such buckets."""
+    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).cast("double").alias("m")).groupBy("key")
+    found = sizes.agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    r = found.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
+    return int(r["pairs"] or 0), int(r["rows"] or 0)
+
+
+def row_key(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a key of both."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def classes(stage: Stage, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """A row a document: key (of its id and text), doc_id, n_shingles, class (of linked documents; null for an empty set) and component_id."""
+    if not PERCENT_LEAST <= percent <= 100:
+        raise ValueError(f"a similarity of {PERCENT_LEAST} to 100 hundredths is wanted")
+    docs = row_key(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = stage.save(first_round(docs, max(1, -(-size // (SAMPLE_BYTES * RANGE_SHINGLES)))), "first")
+    signed = found.filter("range IS NULL").select("key", "doc_id", "g", "n")
+    rest = undecided(found.filter("range IS NULL"), known_elsewhere(found.filter("range IS NOT NULL")), percent)
+    wanted = stage.save(rest.groupBy("g").agg(F.min("key").alias("key"), F.min("n").alias("n")), "wanted")
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    chosen = docs.join(small(wanted.select("key", "g")), "key")
+    if signed.groupBy("key").count().filter("count > 1").limit(1).count():
+        chosen = chosen.dropDuplicates(["key"])
+    second = stage.save(second_round(chosen, max(1, -(-total // RANGE_SHINGLES))), "second")
+    sets, cells = second.filter("range IS NULL").select("block", "v", "g", "n", "shingles"), second.filter("range IS NOT NULL")
+    rows = stage.save(bucket_rows(sets, shared_counts(cells), percent), "keys")
+    heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("kind").alias("last")).filter(f"size > 1 AND last <> {SPARSE}").select("key")
+    rows = stage.save(rows.join(heads, "key"), "buckets")
+    labels = linked_components(stage, rows, sets, percent)
+    # the smallest id of each set, and of each component
+    sets_of = signed.filter("n > 0").groupBy("g").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("times"))
+    near = labels.join(sets.select(F.col("v").alias("id"), "g"), "id").groupBy("g").agg(F.min("root").alias("root"))
+    of_root = near.join(sets_of, "g").select("root", "g", "d")
+    least = of_root.groupBy("root").agg(F.min("d").alias("component_id"), F.min("g").alias("class"))
+    many = sets_of.filter("times > 1").join(of_root, "g", "left_anti").select("g", F.col("d").alias("component_id"), F.col("g").alias("class"))
+    named = stage.save(of_root.join(least, "root").select("g", "component_id", "class").union(many), "named")
+    out = signed.join(small(named), "g", "left").select(
+        "key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class", "g")).alias("class"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
+    return stage.only(out, "documents")
+
+
+def linked_components(stage: Stage, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, root) of the vertices that are linked with any other."""
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        return rows.join(labels.select(F.col("id").alias("v"), "root"), "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root")
+
+    links = verified(stage, star_pairs(rows.withColumn("c", F.col("v")), 0, percent), sets, percent, "star_0")
+    turn = 0
+    while True:
+        labels = components(stage, links, f"c{turn}")
+        own = stage.save(labelled(labels), f"own_{turn}")
+        pairs, members = apart(own)
+        if pairs <= APART * members:
+            break
+        turn += 1
+        more = verified(stage, star_pairs(own, turn, percent), sets, percent, f"star_{turn}")
+        links = links.union(more)
+        if not more.limit(1).count():
+            break
+    if pairs:
+        links = links.union(verified(stage, pairs_across(own, percent), sets, percent, "across"))
+        labels = components(stage, links, "all")
+    return labels
 
 
 def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     stage = Stage(spark, "jaccard")
-    shared = stage.save(shared_shingles(docs), "shared")
-    signed = stage.save(signatures(docs, frequent_shingles(shared), seen_filter(stage, shared), percent), "signatures")
-    # one vertex for equal sets, named by the smallest id
-    names = signed.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("v"))
-    vertices = signed.join(names, ["a", "b"]).filter("doc_id = v")
-    bucket = Window.partitionBy("key")
-    rows = exploded(vertices).withColumns({"size": F.count(F.lit(1)).over(bucket), "first_kind": F.max(kind_of(F.col("info"))).over(bucket)})
-    # sparse sets don't meet in a bucket of a single frequent shingle
-    rows = stage.save(rows.filter((F.col("size") > 1) & (F.col("first_kind") != SPARSE)).select("key", "v", "info"), "buckets")
-    texts = stage.save(packed_texts(docs, stage.save(rows.select("v").distinct(), "wanted")), "texts")
-    links = stage.save(verified(star_pairs(rows, None, percent), texts, percent), "stars")
-    labels = components(stage, links, "c0")
-    dense = stage.save(rows.filter(kind_of(F.col("info")) == DENSE_ONE), "dense")
-    if dense.limit(1).count():
-        for turn, part in enumerate(TURNS):
-            some = dense.filter(F.pmod(F.xxhash64("key"), F.lit(TURN_PARTS)).isin(*part))
-            more = stage.save(verified(star_pairs(some, labels, percent), texts, percent), f"stars_{turn}")
-            links = links.union(more)
-            labels = components(stage, links, f"c{turn + 1}")
-    across = stage.save(pairs_across(stage, rows, labels, percent), "across")
-    roots = components(stage, links.union(verified(across, texts, percent)), "all")
-    named = signed.join(names, ["a", "b"], "left").join(roots.withColumnRenamed("id", "v"), "v", "left")
-    alone = F.col("n") == 0
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "v")).alias("component_id"))
-
-
-def star_pairs(rows: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of bucket members with their bucket's hub.
-
-    At first (without labels) the hub is chosen alike in all buckets, and only
-    pairs that share many keys are taken; later each bucket has a hub of its
-    own, and only pairs of different components are.
-    """
-    bucket = Window.partitionBy("key")
-    info = F.col("info")
-    own = rows.withColumn("c", F.col("v")) if labels is None else rows.join(labels.withColumnRenamed("id", "v"), "v", "left").select("key", "v", "info", F.coalesce("root", "v").alias("c"))
-    order = F.xxhash64("v") if labels is None else F.xxhash64("v", "key")
-    rank = F.when(kind_of(info) == DENSE_ONE, 0).otherwise(1)
-    hub = F.min(F.struct(rank.alias("rank"), order.alias("h"), F.col("v").alias("v"), info.alias("info"), F.col("c").alias("c"))).over(bucket)
-    met = own.withColumn("hub", hub).filter(F.col("c") != F.col("hub.c")).groupBy(F.col("v").alias("src"), F.col("hub.v").alias("dst"))
-    met = met.agg(F.count(F.lit(1)).alias("keys"), F.min("info").alias("i"), F.min("hub.info").alias("j"))
-    i, j = F.col("i"), F.col("j")
-    met = met.filter(fits(size_of(i), size_of(j), percent))
-    if labels is None:
-        met = met.filter(F.col("keys") * 4 >= missing(i, j, percent))
-    return met.select("src", "dst")
-
-
-def pairs_across(stage: Stage, rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket members that are in different components yet, and may be linked by their sizes and shared keys.
-
-    Components are paired first.  Where two of them meet in many buckets, their
-    members are paired once and for all; else bucket by bucket, which counts
-    the keys that a pair shares.
-    """
-    own = rows.join(labels.withColumnRenamed("id", "v"), "v", "left").select("key", "v", "info", F.coalesce("root", "v").alias("c"))
-    parts = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    open_ = stage.save(own.join(parts, "key"), "open")
-    n = size_of(F.col("info"))
-    comps = open_.groupBy("key", "c").agg(F.min(n).alias("least"), F.max(n).alias("most"), F.max(kind_of(F.col("info"))).alias("kind"), F.count(F.lit(1)).alias("m"))
-    left, right = (comps.select("key", *[F.col(x).alias(f"{x}{k}") for x in ("c", "least", "most", "kind", "m")]) for k in (1, 2))
-    near = (F.col("c1") < F.col("c2")) & (F.col("most2") * 100 >= F.col("least1") * percent) & (F.col("most1") * 100 >= F.col("least2") * percent)
-    met = left.join(right, "key").filter(near & ~((F.col("kind1") == SPARSE) & (F.col("kind2") == SPARSE)))
-    met = stage.save(met.select("key", "c1", "c2", (F.col("m1") * F.col("m2")).alias("pairs")), "met")
-    members = stage.save(open_.groupBy("c", "v").agg(F.min("info").alias("info")), "members")
-    sizes = members.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    heavy = met.groupBy("c1", "c2").agg(F.sum("pairs").alias("pairs")).filter(F.col("pairs") >= HEAVY)
-    for k in (1, 2):
-        heavy = heavy.join(sizes.select(F.col("c").alias(f"c{k}"), F.col("size").alias(f"s{k}")), f"c{k}")
-    heavy = stage.save(heavy.filter(F.col("pairs") >= 4 * F.col("s1") * F.col("s2")).select("c1", "c2"), "heavy")
-    whole, light = heavy, met.join(heavy, ["c1", "c2"], "left_anti").select("key", "c1", "c2")
-    for k, name in ((1, "src"), (2, "dst")):
-        whole = whole.join(members.select(F.col("c").alias(f"c{k}"), F.col("v").alias(name), F.col("info").alias(f"i{k}")), f"c{k}")
-        light = light.join(open_.select("key", F.col("c").alias(f"c{k}"), F.col("v").alias(name), F.col("info").alias(f"i{k}")), ["key", f"c{k}"])
-    i, j = F.col("i1"), F.col("i2")
-    ends = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
-    whole = whole.filter(fits(size_of(i), size_of(j), percent)).select(*ends)
-    light = light.filter(fits(size_of(i), size_of(j), percent) & ~((kind_of(i) == SPARSE) & (kind_of(j) == SPARSE)))
-    first = F.col("src") < F.col("dst")
-    light = light.select(*ends, F.when(first, i).otherwise(j).alias("i"), F.when(first, j).otherwise(i).alias("j")).groupBy("src", "dst")
-    light = light.agg(F.count_if(kind_of(F.col("i")) != PAIR).alias("keys"), F.min("i").alias("i"), F.min("j").alias("j"))
-    return light.filter(F.col("keys") >= missing(F.col("i"), F.col("j"), percent)).select("src", "dst").union(whole)
+    return classes(stage, docs, percent).select("doc_id", "n_shingles", "component_id")

@@ -232,14 +232,40 @@ def generated(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,frequent", [(1, 48), (2, 3), (3, 2)])
-def test_jaccard_join_is_exact(spark, monkeypatch, seed, frequent):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+SMALL = {"FREQUENT": 2, "DENSE": 3, "BLOCK_SHINGLES": 256, "BLOCK_SETS": 40, "RANGE_SHINGLES": 64, "APART": 0, "HUB_PAIRS": 2, "BUCKET_PART": 3, "HELD_SETS": 2, "BROADCAST_ROWS": 0}
+
+
+@pytest.mark.parametrize("seed,changed", [(1, {}), (2, {"FREQUENT": 3}), (3, SMALL), (4, SMALL | {"DENSE": 0}), (5, SMALL | {"DENSE": 99, "APART": 9})])
+def test_jaccard_join_is_exact(spark, monkeypatch, seed, changed):
+    """Also with every limit so low that blocks, ranges, parts, later hubs, dense sets and joins by a shuffle are many."""
+    for name, value in changed.items():
+        monkeypatch.setattr(jaccard, name, value)
     rows = generated(seed)
+    got = jaccard.join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_force(rows)
+
+
+def test_jaccard_large_group_of_near_copies(spark):
+    """Members of a group whose links are only a part of its pairs."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(7)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
     got = jaccard.join(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_force(rows)
 
 
+def test_jaccard_ids_that_repeat_or_miss(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, a), (5, b), (3, b + " c"), (None, a), (None, "nobody else has this text"), (7, a), (7, a), (9, None), (9, "")]
+    got = sorted(((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.join(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([("5", 36, 5), ("5", 36, 3), ("3", 37, 3), ("None", 36, 5), ("None", 1, None), ("7", 36, 5), ("7", 36, 5), ("9", 0, 9), ("9", 0, 9)], key=str)
+
+
 # 7
 
 
