@@ -68,6 +68,12 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers, ascending."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers of eight bytes, compressed byte place by byte place, after their size."""
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)

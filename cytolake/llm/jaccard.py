@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, packed, unpacked
+from .common import Stage, distinct, packed, unpacked
 from .graph import components
 
 WORDS = 5
@@ -127,7 +127,7 @@ def shingles(text: str) -> np.ndarray:
     h = w[: n - WORDS + 1] * _FACTORS[0]
     for k in range(1, WORDS):
         h = h + w[k : n - WORDS + 1 + k] * _FACTORS[k]
-    return np.unique(mix(h))
+    return distinct(mix(h))
 
 
 def fingerprint(s: np.ndarray) -> bytes:
@@ -228,7 +228,7 @@ def first_round(docs: DataFrame, ranges: int) -> DataFrame:
                 s = shingles(x.as_py() or "")
                 g, place = fingerprint(s), len(rows)
                 if owners.setdefault(g, place) == place and has_partners(len(s), PERCENT_LEAST):
-                    held.append(np.unique(class_of(s[: np.searchsorted(s, np.uint64(SAMPLE))])))
+                    held.append(distinct(class_of(s[: np.searchsorted(s, np.uint64(SAMPLE))])))
                     places.append(place)
                     size += len(held[-1])
                 rows.append({"place": place, "owner": owners[g], "key": key, "doc_id": doc_id, "g": g, "n": len(s)})
@@ -302,7 +302,7 @@ def second_round(docs: DataFrame, ranges: int) -> DataFrame:
             number = block_number(blocks, 20)
             for place, r in enumerate(rows):
                 r |= {"block": number, "v": number << 16 | place}
-            classes, times = np.unique(np.concatenate([np.unique(class_of(s)) for s in held]), return_counts=True)
+            classes, times = np.unique(np.concatenate([distinct(class_of(s)) for s in held]), return_counts=True)
             rows.extend({"block": number, "range": r, "classes": c, "notes": t} for r, c, t in cell_rows(classes, times.astype("<u2"), ranges, 1 << 64))
             out = batch_of(SECOND, rows)
             for x in (rows, held):

@@ -344,12 +344,93 @@ def test_next_byte_probabilities_sum_to_one():
     assert np.sum(10.0 ** model.log10(keys)) == pytest.approx(1.0)
 
 
-def test_windows_and_memory():
+def test_windows_and_their_logs():
     keys, begin = mixing.windows([b"ab", b"", b"c"])
     assert [k & np.uint64(0xFF) for k in keys] == [97, 98, 255, 255, 99, 255] and begin.tolist() == [0, 3, 4]
-    model = mixing.Model(np.zeros((mixing.OFFSETS[-1], 2), dtype=np.uint8), mixing.start_weights(), np.full((256, mixing.APM_BINS), 0.5))
-    memory = mixing.Memory(model)
-    assert np.allclose(memory.texts([b"ab", b"", b"c"]), memory.texts([b"ab", b"", b"c"]))
+    rng = np.random.default_rng(4)
+    known = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
+    logs = -rng.random(len(known))
+    at = rng.integers(0, len(known), 20_000)
+    assert (mixing.looked_up(known[at], known, logs) == logs[at]).all()
+
+
+def test_scores_depend_on_the_documents_only(spark, sf_dir, monkeypatch):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    one = mixing.score(spark, d.coalesce(1)).toPandas().sort_values("doc_id")
+    for name, value in {"BLOCK_BYTES": 40_000, "BLOCK_ROWS": 17, "SHARD_BYTES": 50_000, "SLICE": 500, "WORD_BYTES": 60_000, "PIECE_BYTES": 70_000}.items():
+        monkeypatch.setattr(mixing, name, value)
+    many = mixing.score(spark, d.repartition(8)).toPandas().sort_values("doc_id")
+    assert np.allclose(one.score, many.score, rtol=1e-9) and np.allclose(one.base_score, many.base_score, rtol=1e-12)
+    assert (one.train_tokens.to_numpy() == many.train_tokens.to_numpy()).all()
+
+
+def test_scores_of_unseen_texts_beat_the_base(spark, sf_dir):
+    got = mixing.score(spark, spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")).toPandas()
+    held = got[got.held_out]
+    assert held.score.sum() > held.base_score.sum()
+
+
+def plain_guesses(key, own, train):
+    """As ``guesses``, piece by piece."""
+    out = []
+    for k, x, t in zip(key, own, train):
+        after = Counter(b for a, b, m in zip(key, own, train) if a == k and m)
+        top = min((b for b in {b for a, b in zip(key, own) if a == k}), key=lambda b: (-after[b], b))
+        if t:
+            after[x] -= 1
+        others = max((n for b, n in after.items() if b != top), default=0)
+        best = max(after[top], others)
+        right = x == top and after[top] > 0 and (not t or after[top] > others)
+        out.append(0 if best <= 0 else 1 + 2 * min(mixing.SEEN - 1, int(np.log2(best))) + right)
+    return out
+
+
+def test_guesses_by_force():
+    rng = np.random.default_rng(6)
+    key, own, train = rng.integers(0, 12, 400), rng.integers(0, 4, 400) ** 2, rng.random(400) < 0.7
+    assert mixing.guesses(key, own, train).tolist() == plain_guesses(key.tolist(), own.tolist(), train.tolist())
+
+
+def test_one_text_byte_by_byte():
+    """The refinement along texts against a plain walk over their bytes."""
+    rng = random.Random(9)
+    line = " ".join(f"word{rng.randrange(40)}" for _ in range(12)) + "\n"
+    texts = [(line * 6 + "other words here " + line).encode(), b"", b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaab", b"x " * 40 + b"y " + b"x " * 30]
+    asked = mixing.Asked(texts, [True, False, True, False], (1, 1, 1))
+    value = np.random.default_rng(3).random(len(asked.windows)) * -1.5 - 0.05
+    order = np.argsort(asked.windows)
+    logs = mixing.looked_up(asked.at, asked.windows[order], value[order])
+    found = np.random.default_rng(5).integers(0, 2 * mixing.SEEN + 1, len(asked.order)).astype(np.uint8)
+    rates = np.array([0.2, 0.4, 0.6, 0.8])
+    want = []
+    for i, (b, m) in enumerate(zip(asked.begin, asked.sizes)):
+        at, own = asked.at[b : b + m].tolist(), logs[b : b + m]
+        known, total, run, row = np.zeros(m, dtype=bool), 0.0, 0, [[0, 0.0, 0.0] for _ in mixing.RUNS]
+        for j in np.flatnonzero(asked.pieces.owner == i):
+            f = int(found[j])
+            p = min(max((mixing.PIECE_PRIOR * rates[(f - 1) // 2] + run) / (mixing.PIECE_PRIOR + run), mixing.PIECE_LEAST), 1 - mixing.PIECE_LEAST)
+            hit = f > 0 and f % 2 == 0
+            total += 0.0 if f == 0 else np.log10(p if hit else 1 - p)
+            run = run + 1 if hit else 0
+            if hit:
+                known[asked.pieces.start[j] - b : asked.pieces.end[j] - b] = True
+        last, run = {}, 0
+        for t in range(m):
+            q, before = own[t], last.get(at[t] >> 8)
+            hit = before is not None and at[before] == at[t]
+            if before is not None and run >= mixing.RUNS[0]:
+                c = row[sum(run >= r for r in mixing.RUNS) - 1]
+                p = min(max(10.0 ** own[before], 1e-6), 1 - 1e-6)
+                k = mixing.BYTE_PRIOR
+                odds = lambda x: np.log(x / (1 - x))
+                z = odds(p) + odds((c[1] + k / 2) / (c[0] + k)) - odds((c[2] + k / 2) / (c[0] + k))
+                g = min(max(1 / (1 + np.exp(-z)), 1e-6), 1 - 1e-6)
+                q = np.log10(g) if hit else q + np.log10((1 - g) / (1 - p))
+                c[0], c[1], c[2] = c[0] + 1, c[1] + hit, c[2] + p
+            total += 0.0 if known[t] else q
+            run, last[at[t] >> 8] = run + 1 if hit else 0, t
+        want.append(total)
+    assert mixing.text_scores(asked, logs, found, rates) == pytest.approx(want)
 
 
 def test_counts_of_contexts_are_exact_at_any_size():
