@@ -92,7 +92,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number modulo 2**64, and their inverses."""
     if len(_POWERS[0]) < n:
-        size = max(n, 2 * len(_POWERS[0]), 1 << 15)
+        size = max(n + n // 8, 1 << 15)
         for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
             step = np.full(size, base, dtype=np.uint64)
             step[0] = 1
