@@ -544,3 +544,30 @@ def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFr
     """doc_id, n_shingles and component_id of every document."""
     stage = Stage(spark, "jaccard")
     return classes(stage, docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All columns of one document of each group of linked ones.
+
+    The row with the smallest doc_id stays (one with an id before one
+    without), of rows with this id the one whose id and text have the smallest
+    hash; of rows that repeat both, the one whose columns have the smallest
+    hash.  Rows that share a doc_id, but are not linked, all stay, and so do
+    all rows without words.
+    """
+    stage = Stage(spark, "keep_one")
+    found = classes(stage, docs, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    best = found.filter("class IS NOT NULL").groupBy("class").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("class", F.col("first.key").alias("best"))
+    gone = stage.save(found.join(small(best), "class").filter("key <> best").select("key").distinct(), "gone")
+    again = stage.save(found.filter("class IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "again")
+    name = "key"
+    while name in docs.columns:
+        name = f"_{name}"
+    gone, again = gone.withColumnRenamed("key", name), again.withColumnRenamed("key", name)
+    kept = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(small(gone), name, "left_anti")
+    if again.limit(1).count():
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        rows = kept.join(small(again), name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+        kept = kept.join(small(again), name, "left_anti").select(*columns).unionByName(rows.select("row.*"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -471,3 +471,67 @@ def test_pipeline_stages(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).join(labels, "doc_id").toPandas()
     assert judged[(judged.quality == 1) & ~judged.base_failed].kept.all()
+
+
+def test_one_of_each_group_stays(spark):
+    """Ids that repeat or miss, rows that repeat, and columns with the operators' names."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, a, 1), (5, b, 2), (3, b + " c", 3), (None, a, 4), (None, "nobody else has this text here", 5), (7, a, 6), (7, a, 6), (8, "twice the same row is here", 7), (8, "twice the same row is here", 7), (9, None, 8), (9, "", 9), (9, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int").withColumns({"class": F.lit("x"), "best": F.lit("y")})
+    got = jaccard.keep_one(spark, docs)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text, r.key) for r in got.collect()), key=str)
+    assert kept == sorted([(5, a, 1), (3, b + " c", 3), (None, "nobody else has this text here", 5), (8, "twice the same row is here", 7), (9, None, 8), (9, "", 9), (9, "", 9)], key=str)
+
+
+ODD_ROWS = [(1, None), (2, ""), (3, " \n\t "), (4, "One short line"), (4, "One short line"), (None, "no id at all, but a whole sentence of words."), (6, "x" * 30_000)]
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "near_duplicates", "substring_dedup", "personal_data", "packing"])
+def test_pipeline_stages_take_odd_rows(spark, sf_dir, name):
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame(ODD_ROWS, "doc_id long, text string").withColumns({"lang": F.lit("en"), "kept": F.lit(1), "n": F.lit(2), "key": F.lit("k"), "spans": F.lit("s")})
+    step = dict(c.STAGES)[name]
+    out = step(spark, docs, sf_dir)
+    n = out.count()
+    if name == "quality_rules":
+        assert n == 0
+    elif name == "near_duplicates":
+        assert sorted(str(r.doc_id) for r in out.select("doc_id").collect()) == ["1", "2", "3", "4", "6", "None"]
+    elif name == "packing":
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {1, 2, 3, 4, None, 6}
+    else:
+        assert n == len(ODD_ROWS) and out.columns == docs.columns
+    assert step(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_run_by_force(spark, sf_dir, docs, tmp_path):
+    """The stages of a whole run against plain versions of them, on every text of the smallest table."""
+    import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    rows = [(int(i), t) for i, t in zip(docs.doc_id, docs.text)]
+    rows += [(10_000 + i, t) for i, t in rows[:40]] + [(20_000, rows[0][1]), (20_000, rows[50][1] + " more words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = c.run(spark, str(tmp_path)).toPandas()
+    kept = [(r.doc_id, r.clean_text) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).filter("kept").collect()]
+    root = {}
+    named = {k: t for k, t in enumerate(kept)}
+    for k, (_, comp) in components_by_force([(k, t) for k, (_, t) in named.items()]).items():
+        if comp not in root or kept[k][0] < kept[root[comp]][0]:
+            root[comp] = k
+    left = sorted(kept[k] for k in root.values())
+    first, cleaned = {}, []
+    for i, t in left:
+        cut = [(a, b) for k, (a, b, u) in enumerate(passages.units(t)) if len(u.split()) >= passages.LEAST and first.setdefault(u, (i, k)) != (i, k)]
+        cleaned.append((i, passages.without(t, cut)))
+    frame = spark.createDataFrame(cleaned, "doc_id long, text string")
+    final = {r.doc_id: r.text for r in pii.redact(frame, pii.train(frame)).collect()}
+    assert not any(plain_spans(t) for t in final.values())
+    tok = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    assert set(got.doc_id) == set(final)
+    for i, part in got.sort_values("start").groupby("doc_id"):
+        ids = np.array([*tok.encode(final[i], add_special_tokens=False).ids, 1], dtype="<u4")
+        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(part.start, part.length)] == part.ids_crc32.tolist()
+        assert part.length.sum() == len(ids)
