@@ -5,6 +5,12 @@ kept, and returns a DataFrame; all but the last return the columns of
 ``documents``.  ``run`` writes each stage's result as Parquet in the shared
 folder and reads it again for the next one, so a lost executor costs at most a
 part of one stage.
+
+Defined cases: a null text counts as an empty one; the quality rules reject
+both, so later stages meet them only when called by themselves, and keep them.
+Rows with a null id or a repeated one go through every stage like others (the
+stages never join texts by id).  An empty table gives an empty result.  Columns
+besides doc_id and text are carried along under their own names, whatever these are.
 """
 
 from __future__ import annotations
@@ -30,26 +36,21 @@ def unboxed(found: DataFrame, columns: list[str], text: Column) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without their failing lines."""
+    """Documents that the quality rules keep, without their failing lines; null and empty texts go."""
     return unboxed(quality.keep(boxed(docs)), docs.columns, F.col("clean_text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents; rows that repeat an id count once."""
-    stage = Stage(spark, "near_duplicates")
-    found = stage.save(jaccard.join(spark, docs.select("doc_id", "text")), "components")
-    gone = stage.save(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    repeated = stage.save(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    small = lambda ids: F.broadcast(ids) if ids.count() <= jaccard.BROADCAST_ROWS else ids
-    kept = docs.join(small(gone), "doc_id", "left_anti")
-    if repeated.limit(1).count():
-        again = kept.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(small(repeated), "doc_id", "left_anti").unionByName(again)
-    return kept.select(*docs.columns)
+    """One document of each group of linked documents, that with the smallest id.
+
+    Rows that share an id, but are not linked, all stay; of rows that repeat id
+    and text one does.  Rows without words are linked with nothing and stay.
+    """
+    return jaccard.keep_one(spark, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each without the passages that occur earlier."""
+    """All documents, each without the passages that occur earlier; rows without an id come last."""
     return unboxed(passages.clean(spark, boxed(docs)), docs.columns, F.col("text"))
 
 
@@ -78,6 +79,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     stage = Stage(spark, "pipeline")
+    done: list[str] = []
     for name, step in STAGES:
         docs = stage.save(step(spark, docs, sf_dir), name)
+        for before in done:
+            stage.drop(before)
+        done = [name]
     return docs

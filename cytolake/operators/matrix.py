@@ -43,12 +43,28 @@ def region_matrix(sites: DataFrame, regions: DataFrame, smooth: DataFrame | None
     return joined.groupBy("cell_id", "region").agg(*aggs)
 
 
+def exact_moments(c: str, units: int) -> tuple[Column, Column]:
+    """Mean and population variance of values counted in ``units`` of one, from integer sums, so that no order of rows shows."""
+    k = F.floor(F.col(c) * float(units) + 0.5).cast("decimal(19,0)")
+    n, total, squares = F.count(c), F.sum(k).cast("decimal(38,0)"), F.sum((k * k).cast("decimal(38,0)")).cast("decimal(38,0)")
+    spread = (n.cast("decimal(18,0)") * squares).cast("decimal(38,0)") - (total * total).cast("decimal(38,0)")
+    many = n.cast("double")
+    return total.cast("double") / (many * float(units)), spread.cast("double") / (many * many * float(units) * float(units))
+
+
 def region_stats(matrix: DataFrame, guard: bool = True) -> DataFrame:
-    """Covered cells, variance of the mean and of the residual; null variances for one cell if ``guard``."""
-    spread = lambda c: F.when(F.count(c) > 1, F.var_pop(c)) if guard else F.var_pop(c)
-    aggs = [F.count("mean").alias("covered_cell"), F.avg("mean").alias("mean"), spread("mean").alias("var")]
+    """Covered cells, variance of the mean and of the residual; null variances for one cell if ``guard``.
+
+    Means have three places and are taken as thousandths; residuals are rounded to nine places.
+    """
+
+    def guarded(c: str, spread: Column) -> Column:
+        return F.when(F.count(c) > 1, spread) if guard else F.when(F.count(c) > 0, spread)
+
+    mean, var = exact_moments("mean", 1000)
+    aggs = [F.count("mean").alias("covered_cell"), mean.alias("mean"), guarded("mean", var).alias("var")]
     if "relative" in matrix.columns:
-        aggs.append(spread("relative").alias("sr_var"))
+        aggs.append(guarded("relative", exact_moments("relative", 10**9)[1]).alias("sr_var"))
     return matrix.groupBy("region").agg(*aggs)
 
 

@@ -28,6 +28,25 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
+def half_up(c, name: str):
+    """Six places, by arithmetic that is the same everywhere."""
+    return (F.floor(c * 1e6 + 0.5) / 1e6).alias(name)
+
+
+def sql_moments(c: str, units: int) -> tuple[str, str]:
+    """SQL of mean and population variance of values counted in ``units`` of one, six places each."""
+    k = f"CAST(floor({c} * CAST({units} AS DOUBLE) + 0.5) AS HUGEINT)"
+    n = f"CAST(count({c}) AS DOUBLE)"
+    six = lambda x: f"floor(({x}) * 1e6 + 0.5) / 1e6"
+    mean = f"CAST(sum({k}) AS DOUBLE) / ({n} * CAST({units} AS DOUBLE))"
+    var = f"CAST(count({c}) * sum({k} * {k}) - sum({k}) * sum({k}) AS DOUBLE) / ({n} * {n} * CAST({units} AS DOUBLE) * CAST({units} AS DOUBLE))"
+    return six(mean), six(var)
+
+
+MEAN6, VAR6 = sql_moments("mean", 1000)
+SR_VAR6 = sql_moments("relative", 10**9)[1]
+
+
 @query("SELECT cell_id, chrom, pos, meth, cov, context, strand FROM {sites_raw} WHERE upper(context) LIKE 'CG%' OR upper(context) = 'CPG'")
 def src_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "sites_raw").filter(S.is_cg(F.col("context")))
@@ -176,19 +195,19 @@ def agg_region_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_matrix(spark, sf_dir).withColumn("relative", F.round("relative", 6))
 
 
-@query(f"""WITH f AS ({FRACTION}) SELECT region, count(mean) AS covered_cell, round(avg(mean), 6) AS mean, round(CASE WHEN count(mean) > 1 THEN var_pop(mean) END + 1e-9, 6) AS var,
-  round(CASE WHEN count(relative) > 1 THEN var_pop(relative) END + 1e-9, 6) AS sr_var FROM ({RESIDUAL}) GROUP BY region""")
+@query(f"""WITH f AS ({FRACTION}) SELECT region, count(mean) AS covered_cell, {MEAN6} AS mean, CASE WHEN count(mean) > 1 THEN {VAR6} END AS var,
+  CASE WHEN count(relative) > 1 THEN {SR_VAR6} END AS sr_var FROM ({RESIDUAL}) GROUP BY region""")
 def agg_region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = matrix.region_stats(residual_matrix(spark, sf_dir))
-    return s.select("region", "covered_cell", r6(F.col("mean"), "mean"), *[r6(F.col(c) + 1e-9, c) for c in ("var", "sr_var")])
+    return s.select("region", "covered_cell", *[half_up(F.col(c), c) for c in ("mean", "var", "sr_var")])
 
 
-@query(f"WITH m AS ({TILED}) SELECT region, count(mean) AS covered_cell, round(avg(mean), 6) AS mean, round(var_pop(mean), 6) AS var, round(count(mean) / CAST((SELECT count(*) FROM {{cells}}) AS DOUBLE), 6) AS pct_cell FROM m GROUP BY region")
+@query(f"WITH m AS ({TILED}) SELECT region, count(mean) AS covered_cell, {MEAN6} AS mean, {VAR6} AS var, round(count(mean) / CAST((SELECT count(*) FROM {{cells}}) AS DOUBLE), 6) AS pct_cell FROM m GROUP BY region")
 def agg_updata_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matrix.tile_mean(view(spark, sf_dir, "sites"), TILE)
     n = view(spark, sf_dir, "cells").count()
     s = matrix.region_stats(m, guard=False)
-    return s.select("region", "covered_cell", r6(F.col("mean"), "mean"), r6(F.col("var"), "var"), r6(F.col("covered_cell") / float(n), "pct_cell"))
+    return s.select("region", "covered_cell", half_up(F.col("mean"), "mean"), half_up(F.col("var"), "var"), r6(F.col("covered_cell") / float(n), "pct_cell"))
 
 
 @query("SELECT s.cell_id, s.chrom, s.pos, s.state, r.region FROM {sites} s JOIN {regions} r ON s.chrom = r.chrom AND s.pos BETWEEN r.start_pos - 1 AND r.end_pos - 1")
