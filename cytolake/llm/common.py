@@ -85,6 +85,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of these names called ``input_...`` instead, and what every column is called now."""
+    told = {}
+    for c in docs.columns:
+        to = c
+        while to in names or (to != c and to in docs.columns):
+            to = f"input_{to}"
+        told[c] = to
+    return docs.withColumnsRenamed({c: to for c, to in told.items() if c != to}), told
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -60,7 +60,7 @@ FREQUENT = 48
 #: The first round takes shingles whose hash is below this: three eighths of all.
 SAMPLE = 3 << 61
 #: Shingles and sets of a block (places have 16 bits), and shingles of a range, about.
-BLOCK_SHINGLES, BLOCK_SETS, RANGE_SHINGLES = 1 << 21, (1 << 16) - 1, 1 << 20
+BLOCK_SHINGLES, BLOCK_SETS, RANGE_SHINGLES = 1 << 20, (1 << 16) - 1, 1 << 20
 #: Bytes of text for each shingle of the first round, about.
 SAMPLE_BYTES = 16
 #: Place of a shingle that several sets of its block have.

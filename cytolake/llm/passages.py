@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, aside
 
 #: Words of a sentence that closes a unit.
 CLOSING = 5
@@ -94,12 +94,16 @@ def removals(stage: Stage, docs: DataFrame) -> DataFrame:
 
 
 ADDED = "n_units long, n_removed long, removed string, clean_text string"
+ADDED_NAMES = ["n_units", "n_removed", "removed", "clean_text"]
 
 
 def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with n_units, n_removed, the removed spans (start:end, comma-joined) and clean_text."""
+    """``docs`` with n_units, n_removed, the removed spans (start:end, comma-joined) and clean_text.
+
+    Input columns of these names are called ``input_...`` in the result.
+    """
     stage = Stage(spark, "passages")
-    docs = docs.drop("n_units", "n_removed", "removed", "clean_text")
+    docs, _ = aside(docs, ADDED_NAMES)
     gone = stage.save(removals(stage, docs), "removals")
     joined = docs.join(gone.withColumnRenamed("doc_id", "_of"), F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left").drop("_of")
     names = docs.columns
@@ -138,7 +142,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def clean(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with the removed units out of their texts; the same columns."""
     out = marked(spark, docs)
-    return out.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    _, told = aside(docs, ADDED_NAMES)
+    return out.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"`{told[c]}`").alias(c) for c in docs.columns])
 
 
 def sha(text: Column) -> Column:

@@ -121,7 +121,7 @@ def vocabulary(model: str) -> Vocabulary:
     return _LOADED[model]
 
 
-def encode_decode(docs: DataFrame, model: str, check_every: int = 16) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, check_every: int = 1) -> DataFrame:
     """doc_id, number of ids, and SHA-256 of the ids and of the text decoded from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

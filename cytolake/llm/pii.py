@@ -48,8 +48,10 @@ NOT_KEY = re.compile("[^0-9a-z@]")
 
 #: A word joins a kind if its belief is at least this.
 BELIEF = 0.6
-#: Rounds of message passing.
-PASSES = 8
+#: Messages have settled when none changes by more; from this round on each is averaged with the one before.
+SETTLED, DAMPED = 1e-6, 32
+#: Words over skip edges with one label that a training row tells apart.
+OVER_MOST = 3
 #: Shortest key that links words by a skip edge.
 SHORTEST_KEY = 6
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -162,14 +164,23 @@ class Graph:
         self.shapes = [shape(text[a:b]) for a, b in self.words]
         # neighbours in the text: nothing but one white-space character between
         self.chain = [(k, k + 1) for k in range(n - 1) if self.words[k + 1][0] - self.words[k][1] == 1]
-        self.skip = []
-        last: dict[str, int] = {}
+        # all words with one key are linked with one of them: the first with an observed label, or else the first
+        alike: dict[str, list[int]] = {}
         for k, (a, b) in enumerate(self.words):
-            key = NOT_KEY.sub("", text[a:b].lower())
+            key = skip_key(text[a:b])
             if len(key) >= SHORTEST_KEY:
-                if key in last:
-                    self.skip.append((last[key], k))
-                last[key] = k
+                alike.setdefault(key, []).append(k)
+        self.skip = []
+        for ks in alike.values():
+            centre = next((k for k in ks if self.label[k]), ks[0])
+            self.skip += [(min(centre, k), max(centre, k)) for k in ks if k != centre]
+        self.skip.sort()
+
+
+def skip_key(word: str) -> str:
+    """What similar words share: their digits if these are many, else their letters and digits."""
+    digits = NOT_DIGIT.sub("", word)
+    return digits if len(digits) >= SHORTEST_KEY else NOT_KEY.sub("", word.lower())
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -191,7 +202,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
                     over[i].append(g.label[j])
                     over[j].append(g.label[i])
                 for k in range(n):
-                    seen["|".join([",".join(map(str, g.shapes[k])), str(before[k]), str(after[k]), ",".join(map(str, sorted(over[k]))), str(g.label[k])])] += 1
+                    seen["|".join([",".join(map(str, g.shapes[k])), str(before[k]), str(after[k]), ",".join(str(x) for x, m in sorted(Counter(over[k]).items()) for _ in range(min(m, OVER_MOST))), str(g.label[k])])] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["row", "n"])
 
     return docs.select("text").mapInArrow(run, "row string, n long").groupBy("row").agg(F.sum("n").alias("n"))
@@ -246,8 +257,13 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, penalty: float = 1.0) ->
     return Weights(*params)
 
 
-def beliefs(g: Graph, w: Weights, passes: int = PASSES) -> np.ndarray:
-    """Each word's belief in each label after loopy message passing; observed labels stay fixed."""
+def beliefs(g: Graph, w: Weights) -> np.ndarray:
+    """Each word's belief in each label after loopy message passing; observed labels stay fixed.
+
+    Messages are passed until they settle.  On a tree that takes as many
+    rounds as its longest path has edges; on loops, later rounds are damped. The
+    number of rounds is bounded by the size of the graph.
+    """
     k = len(LABELS)
     unary = np.array([w.node[node_features(s)].sum(axis=0) for s in g.shapes])
     for i, label in enumerate(g.label):
@@ -262,13 +278,19 @@ def beliefs(g: Graph, w: Weights, passes: int = PASSES) -> np.ndarray:
         table = np.exp(np.array([p[2] for p in pairs] + [p[2].T for p in pairs]))
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
         message = np.zeros((len(source), k))
-        for _ in range(passes):
+        for turn in range(2 * len(pairs) + 4 * DAMPED):
             total = unary.copy()
             np.add.at(total, to, message)
             out = total[source] - message[back]
             out = np.exp(out - out.max(axis=1, keepdims=True))
             new = np.log(np.einsum("ea,eab->eb", out, table) + 1e-300)
-            message = new - new.max(axis=1, keepdims=True)
+            new = new - new.max(axis=1, keepdims=True)
+            if turn >= DAMPED + len(pairs):
+                new = (new + message) / 2
+            change = np.abs(new - message).max()
+            message = new
+            if change <= SETTLED:
+                break
         total = unary.copy()
         np.add.at(total, to, message)
         unary = total - total.max(axis=1, keepdims=True)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, words
+from .common import SPACE, aside, let, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -108,8 +108,15 @@ def line_fails(line: Column, phrases: Column) -> Column:
     return short | shouting | menu | symbols | (phrases & (n > 0) & has_any(F.lower(line), BOILERPLATE))
 
 
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "chars_removed", "clean_text", "base_failed", "kept", "_ws", "_lines", "_judged"]
+
+
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with its measures, ``clean_text`` (failing lines taken out) and ``kept``."""
+    """``docs`` with its measures, ``clean_text`` (failing lines taken out) and ``kept``.
+
+    Input columns of these names are called ``input_...`` in the result.
+    """
+    docs, _ = aside(docs, MEASURES)
     t = text_of(F.col(text))
     # bound together, so that a line's lambda never works the phrases out again
     parts = F.struct(F.split(t, "\n").alias("lines"), has_any(F.lower(t), BOILERPLATE).alias("phrases"))

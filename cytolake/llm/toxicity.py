@@ -35,11 +35,12 @@ ORDERS = (3, 4, 5)
 #: Folds by crc32 of the id's text; fold 0 is held out.
 FOLDS = 5
 #: Bound on the labelled rows that the classifier is fitted on.
-MAX_TRAIN = 16_000
-FEATURES = 2048
+MAX_TRAIN = 8_000
 SMOOTH = 1.0
 PENALTY = 1e-4
-ROUNDS = 200
+ROUNDS = 150
+#: Rows whose features are gone through at once.
+STEP_ROWS = 500
 
 
 def feature_ids(text: str, mark: np.ndarray) -> np.ndarray:
@@ -63,9 +64,9 @@ def feature_ids(text: str, mark: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """toxic and text of the training rows: one pass over the documents against a list of ``most`` ids at most."""
+    """toxic and text of the training rows: one pass over the documents against a list of ``most`` ids (of documents that are there) at most."""
     lab = labels.filter(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = lab.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
@@ -84,18 +85,10 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "at long, c0 long, c1 long").groupBy("at").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
-def select(counts: DataFrame, n0: int, n1: int, most: int) -> pd.DataFrame:
-    """The features with the highest likelihood-ratio statistic, with their log-count ratio."""
-    have = F.col("c0") + F.col("c1")
-
-    def part(seen, total: int, all_seen):
-        expected = all_seen * (total / (n0 + n1))
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
-
-    rest = F.lit(n0 + n1) - have
-    told = part(F.col("c0"), n0, have) + part(F.col("c1"), n1, have) + part(n0 - F.col("c0"), n0, rest) + part(n1 - F.col("c1"), n1, rest)
+def ratios(counts: DataFrame, n0: int, n1: int) -> pd.DataFrame:
+    """The log-count ratio of each feature that any training row has (2**18 at most)."""
     ratio = F.log(((F.col("c1") + SMOOTH) / (n1 + 2 * SMOOTH)) / ((F.col("c0") + SMOOTH) / (n0 + 2 * SMOOTH)))
-    return counts.select("at", ratio.alias("ratio"), told.alias("told")).orderBy(F.desc("told"), "at").limit(most).select("at", "ratio").toPandas().sort_values("at")
+    return counts.select("at", ratio.alias("ratio")).toPandas().sort_values("at")
 
 
 def kept_features(rows: DataFrame, slot: np.ndarray) -> DataFrame:
@@ -107,7 +100,7 @@ def kept_features(rows: DataFrame, slot: np.ndarray) -> DataFrame:
             out = []
             for text in batch.column("text"):
                 at = slot[feature_ids(text.as_py() or "", mark)]
-                out.append(at[at >= 0].astype("<u2").tobytes())
+                out.append(at[at >= 0].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.binary())], names=["toxic", "slots"])
 
     return rows.mapInArrow(run, "toxic int, slots binary")
@@ -116,11 +109,23 @@ def kept_features(rows: DataFrame, slot: np.ndarray) -> DataFrame:
 def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the scaled features and intercept, by accelerated gradient steps on the penalised mean loss."""
     n, k = len(rows), len(scale)
-    flat = np.concatenate(rows).astype(np.int64)
-    row = np.repeat(np.arange(n), [len(x) for x in rows])
-    value = scale[flat]
-    forward = lambda w, b: np.bincount(row, weights=w[flat] * value, minlength=n) + b
-    backward = lambda e: np.bincount(flat, weights=e[row] * value, minlength=k)
+    # rows by pieces of a bounded size, so that nothing as long as all their features is ever made but these
+    flat = np.concatenate(rows).astype(np.int32)
+    sizes = np.array([len(x) for x in rows], dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    cuts = [*range(0, n, STEP_ROWS), n]
+    parts = [(slice(f, e), flat[begin[f] : begin[e]], np.repeat(np.arange(e - f, dtype=np.int32), sizes[f:e])) for f, e in zip(cuts, cuts[1:])]
+
+    def forward(w: np.ndarray, b: float) -> np.ndarray:
+        scaled = w * scale
+        return np.concatenate([np.bincount(row, weights=scaled[at], minlength=some.stop - some.start) for some, at, row in parts]) + b
+
+    def backward(e: np.ndarray) -> np.ndarray:
+        out = np.zeros(k)
+        for some, at, row in parts:
+            out += np.bincount(at, weights=e[some][row], minlength=k)
+        return out * scale
+
     v = np.ones(k) / np.sqrt(max(k, 1))
     size = 1.0
     for _ in range(15):  # largest curvature, by power iteration
@@ -141,8 +146,8 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple[
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, features: int = FEATURES) -> tuple[np.ndarray, float]:
-    """Weight of each of the 2**18 features (0 for those not kept) and the intercept."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
+    """Weight of each of the 2**18 features (0 for those that no training row has) and the intercept."""
     rows = training_rows(docs, labels, most)
     weights = np.zeros(1 << BITS, dtype=np.float32)
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -150,12 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, features: int
     if not n0 or not n1:
         p = (n1 + 0.5) / (n0 + n1 + 1)
         return weights, float(np.log(p / (1 - p)))
-    kept = select(feature_counts(rows), n0, n1, features)
+    kept = ratios(feature_counts(rows), n0, n1)
     slot = np.full(1 << BITS, -1, dtype=np.int32)
     slot[kept["at"].to_numpy()] = np.arange(len(kept))
     found = kept_features(rows, slot).toPandas()
     found = found.assign(n=found["slots"].str.len()).sort_values(["toxic", "n", "slots"])  # the same order in every run
-    w, b = logistic([np.frombuffer(x, dtype="<u2") for x in found["slots"]], found["toxic"].to_numpy(dtype=float), kept["ratio"].to_numpy())
+    w, b = logistic([np.frombuffer(x, dtype="<u4") for x in found["slots"]], found["toxic"].to_numpy(dtype=float), kept["ratio"].to_numpy())
     weights[kept["at"].to_numpy()] = w * kept["ratio"].to_numpy()
     return weights, float(b)
 

@@ -1,9 +1,9 @@
 """URL filter: exact rule lookup through cascades of Bloom filters, without joins.
 
 The listed keys are the rules' (host + path); the key universe is every
-candidate key that some url of the corpus gives rise to (each suffix of its
-host at a label's start, with each prefix of its path that is as long as some
-listed path).  Level 1 of a cascade encodes the listed keys; level 2 the
+candidate key that some url of the corpus gives rise to (each ending of its
+host of as many labels as some listed host has, with each prefix of its path
+that is as long as some listed path).  Level 1 of a cascade encodes the listed keys; level 2 the
 universe's keys that pass level 1 without being listed; level 3 the listed
 keys that pass level 2, and so on until nothing passes wrongly.  The first
 level that a key fails tells whether it is listed, exactly, for every key of
@@ -19,7 +19,8 @@ looked up one shard a pass.
 Defined cases: a null url, or one without ``://``, has empty host and path, no
 rule and the default verdict; hosts and keys are compared byte for byte after
 A-Z are lower-cased; an empty rule list fits nothing; repeated rows are judged
-each by itself.
+each by itself.  Keys are known by 64-bit hashes: a key with the hash of a
+listed one counts as listed.
 """
 
 from __future__ import annotations
@@ -59,11 +60,15 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Array of a url's candidate keys, each once, the longest host and path first."""
-    # the host's suffixes at label starts: the whole host, then after each dot
-    labels = F.split(host, r"\.")
-    suffixes = let(labels, lambda ls: F.transform(F.sequence(F.lit(1), F.size(ls)), lambda i: F.array_join(F.slice(ls, i, F.size(ls)), ".")))
+def candidates(host: Column, path: Column, lengths: list[int], labels: list[int]) -> Column:
+    """Array of a url's candidate keys, each once, the longest host and path first.
+
+    Only host endings of as many labels and path beginnings of as many characters
+    as some rule has, so a long url has no more of them than a short one.
+    """
+    ending = lambda ls, n: F.when(F.size(ls) >= n, F.array_join(F.slice(ls, F.size(ls) - n + 1, n), "."))
+    suffixes = let(F.split(host, r"\."), lambda ls: F.array(*[ending(ls, n) for n in sorted(set(labels), reverse=True)]))
+    suffixes = F.filter(suffixes, lambda h: h.isNotNull())
     paths = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(set(lengths), reverse=True)])
     paths = F.filter(paths, lambda p: p.isNotNull())
     return F.when(F.length(host) > 0, F.flatten(F.transform(suffixes, lambda h: F.transform(paths, lambda p: F.concat(h, p))))).otherwise(F.array().cast("array<string>"))
@@ -182,6 +187,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: str = "u
     """``pages`` with host, path, rule and verdict; ``rules`` has host, path and verdict (allow or block)."""
     stage = Stage(spark, "urls")
     lengths = [r["n"] for r in rules.select(F.length("path").alias("n")).distinct().collect()]
+    labels = [r["n"] for r in rules.select(F.size(F.split("host", r"\.")).alias("n")).distinct().collect()]
     split = pages.drop("host", "path", "rule", "verdict")
     host, path = host_path(F.col(url))
     split = split.withColumns({"host": host, "path": path})
@@ -189,7 +195,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: str = "u
         return split.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keyed = rules.select(key_hash(F.concat("host", "path")).alias("h"), "verdict").groupBy("h").agg(F.min("verdict").alias("verdict"))
     keyed = stage.save(keyed, "listed")
-    seen = split.select(F.explode(candidates(F.col("host"), F.col("path"), lengths)).alias("key")).select(key_hash(F.col("key")).alias("h"))
+    seen = split.select(F.explode(candidates(F.col("host"), F.col("path"), lengths, labels)).alias("key")).select(key_hash(F.col("key")).alias("h"))
     universe = stage.save(seen.distinct().join(keyed.select("h"), "h", "left_anti"), "universe")
     shards = shards_of(keyed.count(), universe.count())
     for s in range(shards):
@@ -199,18 +205,16 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: str = "u
         blocked = listed.filter(F.col("verdict") == "block").select("h")
         allowed = listed.filter(F.col("verdict") != "block").select("h")
         blocks = fit(stage, blocked, allowed, f"block{s}")
-        split = _look_up(split, any_rule, blocks, lengths, s, shards)
-    best = "_best" if shards > 1 else "_found_0"
-    if shards > 1:
-        found = F.array(*[f"_found_{s}" for s in range(shards)])
-        split = split.withColumn("_best", F.array_max(F.transform(found, lambda x: F.struct(F.length(x["rule"]).alias("n"), x["rule"].alias("rule"), x["block"].alias("block")))))
-    verdict = F.when(F.col(best)["rule"].isNull(), F.lit(default)).when(F.col(best)["block"], F.lit("block")).otherwise(F.lit("allow"))
-    out = split.withColumns({"rule": F.col(best)["rule"], "verdict": verdict})
-    return out.drop("_best", *[f"_found_{s}" for s in range(shards)])
+        split = _look_up(split, any_rule, blocks, lengths, labels, s, shards)
+        if shards > 1:  # one shard's filters are with the executors at a time: each pass is written before the next
+            best = F.col("_found") if not s else F.when(F.coalesce(F.length("_found.rule"), F.lit(-1)) > F.coalesce(F.length("_best.rule"), F.lit(-1)), F.col("_found")).otherwise(F.col("_best"))
+            split = stage.save(split.withColumn("_best", best).drop("_found"), f"pass_{s}").withColumn("_found", F.col("_best"))
+    verdict = F.when(F.col("_found.rule").isNull(), F.lit(default)).when(F.col("_found.block"), F.lit("block")).otherwise(F.lit("allow"))
+    return split.withColumns({"rule": F.col("_found.rule"), "verdict": verdict}).drop("_best", "_found")
 
 
-def _look_up(split: DataFrame, any_rule: Cascade, blocks: Cascade, lengths: list[int], shard: int, shards: int) -> DataFrame:
-    """Column ``_found_N``: the longest listed key among a url's candidates, and whether it blocks."""
+def _look_up(split: DataFrame, any_rule: Cascade, blocks: Cascade, lengths: list[int], labels: list[int], shard: int, shards: int) -> DataFrame:
+    """Column ``_found``: the longest listed key among a url's candidates, and whether it blocks."""
 
     @F.pandas_udf("struct<rule string, block boolean>")
     def longest(keys: pd.Series, hashes: pd.Series) -> pd.DataFrame:
@@ -230,10 +234,8 @@ def _look_up(split: DataFrame, any_rule: Cascade, blocks: Cascade, lengths: list
                     rule[r], block[r] = flat[i], bool(bad[i])
         return pd.DataFrame({"rule": pd.Series(rule, dtype=object), "block": pd.Series(block, dtype=object)})
 
-    keys = candidates(F.col("host"), F.col("path"), lengths)
-    return split.withColumn(f"_found_{shard}", let(keys, lambda k: F.struct(k.alias("k"), F.transform(k, key_hash).alias("h")))).withColumn(
-        f"_found_{shard}", longest(F.col(f"_found_{shard}.k"), F.col(f"_found_{shard}.h"))
-    )
+    keys = candidates(F.col("host"), F.col("path"), lengths, labels)
+    return split.withColumn("_found", let(keys, lambda k: F.struct(k.alias("k"), F.transform(k, key_hash).alias("h")))).withColumn("_found", longest(F.col("_found.k"), F.col("_found.h")))
 
 
 def default_rules(spark: SparkSession) -> DataFrame:

@@ -63,7 +63,7 @@ def test_message_passing_is_exact_on_a_chain():
     w = pii.Weights(rng.normal(size=(pii.N_NODE, 5)), rng.normal(size=(5, 5)), np.zeros((5, 5)))
     g = pii.Graph("a1 b22 c333 d4444", [])
     g.label[1] = 2
-    got = pii.beliefs(g, w, 8)
+    got = pii.beliefs(g, w)
     total = np.zeros((4, 5))
     for labels in np.ndindex(5, 5, 5, 5):
         if labels[1] != 2:
@@ -74,6 +74,32 @@ def test_message_passing_is_exact_on_a_chain():
     assert np.allclose(got, total / total.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def test_message_passing_is_exact_on_a_tree_with_skip_edges():
+    rng = np.random.default_rng(7)
+    skip = rng.normal(size=(5, 5))
+    w = pii.Weights(rng.normal(size=(pii.N_NODE, 5)), np.zeros((5, 5)), (skip + skip.T) / 2)
+    # nothing but white space of two characters lies between, so there are skip edges only
+    g = pii.Graph("555-2485  0a1  555.2485  x2y3  5552485  (555)2485", [(0, 3, 8)])
+    assert g.label[0] == 4 and not g.chain and g.skip == [(0, 2), (0, 4), (0, 5)]
+    n = len(g.words)
+    total = np.zeros((n, 5))
+    unary = [w.node[pii.node_features(s)].sum(axis=0) for s in g.shapes]
+    for labels in np.ndindex(*[5] * n):
+        if labels[0] == 4:
+            p = np.exp(sum(unary[k][labels[k]] for k in range(1, n)) + sum(w.skip[labels[i], labels[j]] for i, j in g.skip))
+            for k in range(n):
+                total[k, labels[k]] += p
+    assert np.allclose(pii.beliefs(g, w), total / total.sum(axis=1, keepdims=True), atol=1e-5)
+
+
+def test_a_label_reaches_every_copy():
+    w = pii.Weights(np.zeros((pii.N_NODE, 5)), np.zeros((5, 5)), 4 * np.eye(5))
+    g = pii.Graph("+15555552485" + "  1555 555 2485  15555552485" * 20, [(0, 3, 12)])
+    far = [k for k, (a, b) in enumerate(g.words) if b - a == 11]
+    p = pii.beliefs(g, w)
+    assert len(far) == 20 and (p[far, 4] > 0.9).all() and np.allclose(p[far], p[far[0]])
+
+
 def test_repeated_value_is_found_by_its_copy(spark):
     card = "4111111111111111"
     rows = [(i, f"pay {card} now and 4012888888881881 then x{i} 12 of 300 items in 2024") for i in range(40)] + [(99, f"pay {card} today. later 4111-1111 1111x{card} again {card}")]
@@ -127,9 +153,43 @@ def test_shards_give_the_same_verdicts(spark, sf_dir, monkeypatch):
     assert sorted(map(tuple, urls.judge(spark, pages, urls.default_rules(spark)).collect())) == one
 
 
+def test_a_url_of_very_many_labels(spark):
+    url = "http://" + "a." * 10_000 + "org/x"
+    pages = spark.createDataFrame([(1, url), (2, "http://" + "a." * 10_000 + "com/de/x")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark, pages, urls.default_rules(spark)).collect()}
+    assert got == {1: ("org/", "allow"), 2: ("com/de/", "block")}
+
+
 # 4
 
 
+def test_ratios_and_fit_by_force(spark):
+    """Log-count ratios and scores of all features against a plain dense fit."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["bad", "vile", "awful", "nice"] if i % 3 == 0 else ["good", "nice", "kind", "bad"]) for _ in range(6))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)] + [(10_000 + i, 1) for i in range(50)], "doc_id long, toxic int")
+    weights, bias = toxicity.fit(docs, labels, most=200)
+    mark = np.zeros(1 << toxicity.BITS, dtype=bool)
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([i % 3 == 0 for i, _ in train], dtype=float)
+    x = np.zeros((len(train), 1 << toxicity.BITS), dtype=np.float32)
+    for k, (_, t) in enumerate(train):
+        x[k, toxicity.feature_ids(t, mark)] = 1
+    used = np.flatnonzero(x.any(axis=0))
+    x = x[:, used].astype(float)
+    p, q = (x[y == 1].sum(axis=0) + 1) / (y.sum() + 2), (x[y == 0].sum(axis=0) + 1) / ((1 - y).sum() + 2)
+    scaled = x * np.log(p / q)
+    w, b = np.zeros(len(used)), 0.0
+    for _ in range(20_000):
+        e = (1 / (1 + np.exp(-(scaled @ w + b))) - y) / len(y)
+        w -= 0.02 * (scaled.T @ e + toxicity.PENALTY * w)
+        b -= 0.02 * e.sum()
+    assert set(np.flatnonzero(weights)) <= set(used)
+    mine, plain = x @ weights[used] + bias, scaled @ w + b
+    assert ((mine > 0) == (plain > 0)).mean() > 0.98 and np.corrcoef(mine, plain)[0, 1] > 0.95
+
+
 def test_toxicity_held_out(spark, sf_dir):
     got = queries.op4_toxicity(spark, sf_dir.replace("sf0.001", "sf0.01")).toPandas()
     labels = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/labels.parquet").toPandas()
