@@ -7,8 +7,11 @@ to a piece of the vocabulary; what has no piece becomes its UTF-8 bytes.  No
 piece has U+2581 after another character, so chunks don't influence each other
 and the ids of a chunk are remembered (a bounded memory).
 
-The ids and the decoded texts are compared with the sentencepiece library on
-every ``check_every``-th text of each Arrow batch; a difference is an error.
+Every chunk is compared with the sentencepiece library, ids and decoded text,
+when it is first met (chunks that aren't remembered, each time), so every text is
+covered; texts that probe the model's treatment of spaces and characters are when
+it is loaded, and every ``check_every``-th text of each Arrow batch as a whole.  A
+difference is an error.
 
 Defined cases: a null text is an empty one, which has only the begin and end
 ids; repeated rows are encoded each by itself; other columns are ignored.
@@ -29,6 +32,8 @@ SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Chunks remembered by a Python worker.
 MEMORY = 250_000
+#: New chunks that are compared with the library at once.
+FRESH = 20_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -53,7 +58,12 @@ class Vocabulary:
         for b, i in enumerate(self.byte_ids):
             self.surface[i] = bytes([b])
         self.memory: dict[str, bytes] = {}
+        self.fresh: list[tuple[str, list[int]]] = []
         self.mark = np.array([self.begin], dtype="<u4").tobytes(), np.array([self.end], dtype="<u4").tobytes()
+        # spaces at the ends and in a row, other white space, marks that a normaliser would join, a space mark of the text itself
+        for text in ("", " ", "a", " a", "a  b ", "a\tb\nc", "e\u0301 \u00e9 \ufb01 \u3000", f"a{SPACE}b {SPACE}", "\x00\u200b"):
+            ids = self.encode(text)
+            self.check(text, ids, self.decode(ids))
 
     def merge(self, chunk: str) -> list[str]:
         """The chunk's symbols after all merges."""
@@ -85,6 +95,11 @@ class Vocabulary:
                 out += [self.byte_ids[b] for b in s.encode()]
             else:
                 out.append(i)
+        # the library puts one space mark before a text, as the chunk has it
+        if chunk[0] == SPACE and len(chunk) > 1:
+            self.fresh.append((chunk[1:].replace(SPACE, " "), out))
+            if len(self.fresh) >= FRESH:
+                self.check_fresh()
         found = np.array(out, dtype="<u4").tobytes()
         if len(self.memory) >= MEMORY:
             self.memory.clear()
@@ -105,6 +120,15 @@ class Vocabulary:
         raw = b"".join([surface[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
         return raw[1:] if raw[:1] == b" " else raw
 
+    def check_fresh(self) -> None:
+        """Compare the chunks met since the last call with the library, all at once."""
+        texts, ids = [t for t, _ in self.fresh], [i for _, i in self.fresh]
+        self.fresh.clear()
+        if texts:
+            for text, mine, told, back in zip(texts, ids, self.library.encode(texts, num_threads=1), self.library.decode(ids, num_threads=1), strict=True):
+                if mine != told or text != back:
+                    raise ValueError(f"ids or text differ from the library's on {text[:80]!r}")
+
     def check(self, text: str, ids: bytes, decoded: bytes) -> None:
         told = self.library.encode(text, add_bos=True, add_eos=True)
         mine = np.frombuffer(ids, dtype="<u4").tolist()
@@ -121,7 +145,7 @@ def vocabulary(model: str) -> Vocabulary:
     return _LOADED[model]
 
 
-def encode_decode(docs: DataFrame, model: str, check_every: int = 1) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, check_every: int = 16) -> DataFrame:
     """doc_id, number of ids, and SHA-256 of the ids and of the text decoded from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +162,7 @@ def encode_decode(docs: DataFrame, model: str, check_every: int = 1) -> DataFram
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(decoded).hexdigest())
+            v.check_fresh()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
