@@ -91,3 +91,65 @@ def overlap_length(start_a: Column, end_a: Column, start_b: Column, end_b: Colum
 def volcano_class(lfc: Column, p: Column, alpha: float = 0.05, least: float = 0.5) -> Column:
     strong = (p < alpha) & (F.abs(lfc) > least)
     return F.when(strong & (lfc > 0), "hyper").when(strong & (lfc < 0), "hypo").otherwise("nonsignificant")
+
+
+#: Feature names and what they stand for; fixed values.
+FEATURE_NAMES = {"5UTR": "five_prime_utr", "3UTR": "three_prime_utr"}
+#: Colours of states; fixed values.
+STATE_COLOURS = {0: "white", 1: "red", -1: "blue"}
+
+
+def mapped(value: Column, names: dict) -> Column:
+    """The value's entry in a small table, or the value itself."""
+    out = value
+    for k, v in names.items():
+        out = F.when(value == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def feature_name(name: Column) -> Column:
+    return mapped(name, FEATURE_NAMES)
+
+
+def state_colour(state: Column) -> Column:
+    """Colour of a state; null for others."""
+    out = F.lit(None).cast("string")
+    for k, v in STATE_COLOURS.items():
+        out = F.when(state == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def slop(start: Column, end: Column, before: int, after: int) -> tuple[Column, Column]:
+    """An interval made longer at both ends, its start not below 0."""
+    return F.greatest(F.lit(0).cast("long"), start - before), end + after
+
+
+def motif_name(name: Column) -> Column:
+    """Upper-cased first part of a motif's name, which ends at a slash, colon, parenthesis or hyphen."""
+    return F.upper(F.regexp_extract(name, r"^([^/:()-]*)", 1))
+
+
+def motif_id(file_name: Column) -> tuple[Column, Column]:
+    """Id and factor of a file name ``id_factor.suffix``."""
+    bare = F.regexp_replace(file_name, r"\.[^.]*$", "")
+    return F.regexp_extract(bare, r"^([^_]*)", 1), F.regexp_extract(bare, r"^[^_]*_(.*)$", 1)
+
+
+def composite(*values: Column) -> Column:
+    return F.concat_ws("_", *values)
+
+
+def shortened(genes: Column, most: int, sep: str = ";") -> Column:
+    """The first names of a joined list, with an ellipsis if there are more."""
+    parts = F.split(genes, sep)
+    return F.when(F.size(parts) > most, F.concat(F.array_join(F.slice(parts, 1, most), sep), F.lit("..."))).otherwise(genes)
+
+
+def stars(p: Column) -> Column:
+    """One to three stars for a p-value below 0.05, 0.01 and 0.001."""
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+
+
+def is_binary(value: Column) -> Column:
+    """Aggregate: whether all values are 0 or 1."""
+    return F.coalesce(F.bool_and(value.isin(0, 1)), F.lit(True))

@@ -118,3 +118,9 @@ def gap_regions(df: DataFrame, threshold: int, least: int = 2) -> DataFrame:
     run = df.withColumn("_cut", cut).withColumn("run", F.sum("_cut").over(w))
     out = run.groupBy("chrom", "run").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("n_sites"))
     return out.filter(F.col("n_sites") >= least).drop("run")
+
+
+def tiles_from_zero(chrom_sizes: DataFrame, width: int, step: int) -> DataFrame:
+    """Half-open windows from 0 on, the last ones cut at the chromosome's length."""
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long")))
+    return chrom_sizes.filter("length > 0").select("chrom", "length", start.alias("start_pos")).select("chrom", "start_pos", F.least(F.col("start_pos") + width, F.col("length")).alias("end_pos"))

@@ -57,3 +57,18 @@ def motif_enrichment(regions: DataFrame, chosen: DataFrame, hits: DataFrame) ->
     out = out.withColumns({"only_chosen": F.lit(n) - F.col("both"), "only_motif": F.col("with_motif") - F.col("both")})
     out = out.withColumn("neither", F.lit(total) - F.col("both") - F.col("only_chosen") - F.col("only_motif"))
     return out.withColumn("pval", hypergeometric_tail(F.col("both"), F.lit(total).cast("long"), F.col("with_motif"), F.lit(n).cast("long")))
+
+
+def term_table(genes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Terms with overlap (listed/all), p-value, adjusted p-value, odds ratio, combined score and the listed genes, joined.
+
+    There is a row a term of the library, so the adjustment over all terms is one task's.
+    """
+    from .diff import bh_adjust
+
+    told = enrich(genes, sets).withColumn("pval", F.round("pval", 9))
+    score = -F.log(F.greatest(F.col("pval"), F.lit(1e-300))) * F.col("odds_ratio")
+    listed = sets.select("term", "gene_id").distinct().join(genes.select("gene_id").distinct(), "gene_id", "left_semi")
+    names = listed.groupBy("term").agg(F.array_join(F.sort_array(F.collect_list("gene_id")), ";").alias("genes"))
+    overlap = F.concat(F.col("x").cast("string"), F.lit("/"), F.col("k").cast("string"))
+    return bh_adjust(told.withColumns({"combined_score": score, "overlap": overlap}), "pval").join(names, "term")

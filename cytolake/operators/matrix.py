@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sites import region_name
 from .axis import range_join, tile_of
+from .ranked import global_rank
 
 
 def cell_qc(sites: DataFrame) -> DataFrame:
@@ -101,12 +102,11 @@ def top_variable(stats: DataFrame, n: int, by: str = "sr_var") -> DataFrame:
     return stats.filter(F.col(by).isNotNull()).orderBy(F.desc(by), "region").limit(n)
 
 
-def trim_quantiles(stats: DataFrame, count: str, low: float, high: float, n: int) -> DataFrame:
-    """Regions without the lowest and highest shares by rank, the n largest of the rest."""
+def trim_quantiles(stats: DataFrame, save, count: str, low: float, high: float, n: int) -> DataFrame:
+    """Regions without the lowest and highest shares by rank, the n largest of the rest; ``save`` writes a table and reads it again."""
     some = stats.filter(F.col(count) > 0)
     total = some.count()
-    w = Window.orderBy(F.asc(count), F.asc("region"))
-    ranked = some.select("region", count).withColumn("rank", F.row_number().over(w) - 1)
+    ranked = global_rank(some.select("region", count), save, count, "region").withColumn("rank", F.col("rank") - 1)
     kept = ranked.filter((F.col("rank") >= int(total * low)) & (F.col("rank") < int(total * (1 - high))))
     return kept.select("region", count).orderBy(F.desc(count), "region").limit(n)
 
@@ -137,3 +137,46 @@ def impute(matrix: DataFrame, cells: DataFrame, how: str = "mean") -> DataFrame:
 def pivoted(matrix: DataFrame, regions: list[str]) -> DataFrame:
     """A row a cell, a column for each region of a given list."""
     return matrix.groupBy("cell_id").pivot("region", regions).agg(F.first("mean"))
+
+
+def without_chroms(sites: DataFrame, chroms: list[str]) -> DataFrame:
+    return sites.filter(~F.col("chrom").isin(*chroms))
+
+
+def hashed(key: Column) -> Column:
+    """A fixed spread of integer keys over 32 bits, for samples that don't change from run to run."""
+    return (key.cast("long") * 2654435761 + 12345) % 4294967296
+
+
+def sample_fraction(df: DataFrame, key: str, fraction: float) -> DataFrame:
+    """About this share of the rows, the same ones every time."""
+    return df.filter(hashed(F.col(key)) < int(fraction * 4294967296))
+
+
+def sample_fixed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows, the same ones every time; a top-k, merged task by task."""
+    return df.orderBy(hashed(F.col(key)), key).limit(n)
+
+
+def window_level(sites: DataFrame, chrom: str, start: int, end: int, min_cov: int = 0) -> DataFrame:
+    """Each cell's share of methylated sites in one window, of the unambiguous ones with enough coverage."""
+    told = (F.col("state") != 0) & (F.col("cov") >= min_cov)
+    value = F.when(told, F.when(F.col("state") == -1, 0).otherwise(F.col("state")))
+    return sites.filter((F.col("chrom") == chrom) & (F.col("pos") >= start) & (F.col("pos") < end)).groupBy("cell_id").agg(F.avg(value).alias("mean"))
+
+
+def mean_over(matrix: DataFrame, regions: list[str]) -> DataFrame:
+    """Each cell's mean over some regions, with how many of them it covers."""
+    return matrix.filter(F.col("region").isin(*regions)).groupBy("cell_id").agg(F.count("mean").alias("n"), exact_moments("mean", 1000)[0].alias("mean"))
+
+
+def average_coverage(reads: DataFrame, chrom_sizes: DataFrame, read_length: int) -> DataFrame:
+    """reads * length / genome size of each cell."""
+    size = chrom_sizes.agg(F.sum("length")).first()[0] or 0
+    return reads.withColumn("coverage", F.when(F.lit(size) > 0, F.col("reads") * float(read_length) / F.lit(size)))
+
+
+def length_report(regions: DataFrame, kind: str) -> DataFrame:
+    """Per kind: number, mean, least and largest length."""
+    length = F.col("end_pos") - F.col("start_pos")
+    return regions.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_length"), F.min(length).alias("shortest"), F.max(length).alias("longest"))

@@ -64,3 +64,11 @@ def adaptive_smooth(track: DataFrame, neighbours: int = 10, cap: int = 1500, blo
     inside = F.filter("frame", lambda x: (x["pos"] >= F.col("pos") - b) & (x["pos"] < F.col("pos") + b))
     smoothed = _average(inside, lambda x: F.exp(-F.pow((x["pos"] - F.col("pos")) / b.cast("double"), 2)) * x["lw"])
     return rows.select("chrom", "pos", b, F.when(b > 0, smoothed).alias("value"))
+
+
+def null_edges(track: DataFrame, bandwidth: int) -> DataFrame:
+    """The track without values where the kernel would reach over either end of the chromosome."""
+    half = bandwidth // 2
+    last = track.groupBy("chrom").agg(F.max("pos").alias("_last"))
+    inside = (F.col("pos") >= half) & (F.col("pos") + half <= F.col("_last") + 1)
+    return track.join(F.broadcast(last), "chrom").withColumn("value", F.when(inside, F.col("value"))).drop("_last")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranked import global_rank
+
 
 def composition(cells: DataFrame, group: str, color: str) -> DataFrame:
     """Cells by group and colour, zero filled, long form."""
@@ -29,11 +31,11 @@ def histogram(rows: DataFrame, value: str, width: float) -> DataFrame:
     return rows.filter(F.col(value).isNotNull()).groupBy((F.floor(F.col(value) / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def pass_curve(rows: DataFrame, value: str, key: str) -> DataFrame:
-    """Percentage of rows that pass a cut-off at each row's value: 100 * (1 - rank / n)."""
-    w = Window.orderBy(value, key)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return rows.select(key, value, (100 * (1 - F.row_number().over(w) / n)).alias("pass_pct"))
+def pass_curve(rows: DataFrame, save, value: str, key: str) -> DataFrame:
+    """Percentage of rows that pass a cut-off at each row's value: 100 * (1 - rank / n); ``save`` writes a table and reads it again."""
+    ranked = global_rank(rows.select(key, value), save, value, key)
+    n = ranked.count()
+    return ranked.select(key, value, (100 * (1 - F.col("rank") / float(max(n, 1)))).alias("pass_pct"))
 
 
 def centroids(rows: DataFrame, label: str, x: str, y: str) -> DataFrame:

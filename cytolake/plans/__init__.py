@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, core
+from . import analysis, core, results
 
-MODULES = (core, analysis)
+MODULES = (core, analysis, results)
 
 
 def queries() -> dict:

@@ -471,7 +471,7 @@ def plt_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {M} SELECT cell_id, n_features, round(100 * (1 - row_number() OVER (ORDER BY n_features, cell_id) / CAST(count(*) OVER () AS DOUBLE)), 6) AS pass_pct FROM (SELECT cell_id, count(mean) AS n_features FROM m GROUP BY cell_id)")
 def plt_pass_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = tiled(spark, sf_dir).groupBy("cell_id").agg(F.count("mean").alias("n_features"))
-    return views.pass_curve(n, "n_features", "cell_id").withColumn("pass_pct", F.round("pass_pct", 6))
+    return views.pass_curve(n, saver(spark, "pass_curve"), "n_features", "cell_id").withColumn("pass_pct", F.round("pass_pct", 6))
 
 
 @query("SELECT label, round(median(CAST(embedding[1] AS DOUBLE)), 6) AS x, round(median(CAST(embedding[2] AS DOUBLE)), 6) AS y FROM embeddings GROUP BY label")

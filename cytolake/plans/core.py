@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sites as S
 from ..operators import axis, matrix, smooth
 from .fixtures import view, with_views
+from .tables import saver
 
 TILE, BANDWIDTH, NEIGHBOURS, CAP = 100, 100, 10, 50
 QUERIES, ORACLE = {}, {}
@@ -239,9 +240,9 @@ def jon_gene_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genes_of_regions(view(spark, sf_dir, "regions"), view(spark, sf_dir, "genes"), 30, 100)
 
 
-@query("SELECT q.cell_id, q.sites, coalesce(c.cell_type, 'unknown') AS label, c.sample FROM (SELECT cell_id, count(*) AS sites FROM {sites} GROUP BY cell_id) q LEFT JOIN (SELECT * FROM {cells} WHERE cell_id % 7 <> 0) c ON q.cell_id = c.cell_id")
+@query("SELECT q.cell_id, q.sites, coalesce(c.cell_type, 'unknown') AS label, c.sample FROM (SELECT cell_id, count(*) AS sites FROM {sites} GROUP BY cell_id) q LEFT JOIN (SELECT * FROM {cells}) c ON q.cell_id = c.cell_id")
 def jon_meta_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = view(spark, sf_dir, "cells").filter("cell_id % 7 <> 0")
+    meta = view(spark, sf_dir, "cells")
     qc = matrix.cell_qc(view(spark, sf_dir, "sites")).select("cell_id", "sites")
     return qc.join(meta, "cell_id", "left").select("cell_id", "sites", F.coalesce("cell_type", F.lit("unknown")).alias("label"), "sample")
 
@@ -296,7 +297,7 @@ def top_hvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT region, covered_cell FROM r WHERE k >= CAST(floor(n * CAST(0.1 AS DOUBLE)) AS BIGINT) AND k < CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT) ORDER BY covered_cell DESC, region LIMIT 40""")
 def top_trim_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = matrix.region_stats(tiled(spark, sf_dir)).select("region", "covered_cell")
-    return matrix.trim_quantiles(s, "covered_cell", 0.1, 0.05, 40)
+    return matrix.trim_quantiles(s, saver(spark, "trim"), "covered_cell", 0.1, 0.05, 40)
 
 
 @query(f"WITH {M} SELECT cell_id, region, round(CASE WHEN var_pop(mean) OVER w IS NOT NULL THEN (mean - avg(mean) OVER w) / (var_pop(mean) OVER w + 1) END, 6) AS z FROM m WINDOW w AS (PARTITION BY region)")
