@@ -35,7 +35,7 @@ ORDERS = (3, 4, 5)
 #: Folds by crc32 of the id's text; fold 0 is held out.
 FOLDS = 5
 #: Bound on the labelled rows that the classifier is fitted on.
-MAX_TRAIN = 8_000
+MAX_TRAIN = 4_000
 SMOOTH = 1.0
 PENALTY = 1e-4
 ROUNDS = 150
