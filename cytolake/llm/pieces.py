@@ -1,11 +1,15 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
-A chunk of text (a run of U+2581 with what follows it up to the next) is
-encoded by an agenda of adjacent symbol pairs: the pair whose joined piece has
-the highest score is merged first, the leftmost of equals, until no pair joins
-to a piece of the vocabulary; what has no piece becomes its UTF-8 bytes.  No
-piece has U+2581 after another character, so chunks don't influence each other
-and the ids of a chunk are remembered (a bounded memory).
+A chunk of text is encoded by an agenda of adjacent symbol pairs: the pair whose
+joined piece has the highest score is merged first, the leftmost of equals, until
+no pair joins to a piece of the vocabulary; what has no piece becomes its UTF-8
+bytes.  A chunk is a run of U+2581 with the run of letters, or of other
+characters, that follows it (letters are those that the vocabulary's pieces of
+more than one character have).  No merge crosses from one chunk to the next, as no
+piece has two neighbouring characters of which one ends a chunk and the other
+begins one; this is tested on the vocabulary, and where it holds only for U+2581,
+chunks reach up to the next of these.  So chunks don't influence each other and
+the ids of a chunk are remembered (a bounded memory).
 
 Every chunk is compared with the sentencepiece library, ids and decoded text,
 when a worker first meets it, so every text is covered (a filter tells what has been
@@ -23,15 +27,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
+from operator import concat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
+#: Whether an array of C integers is one of little-endian unsigned 32-bit ones.
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Chunks remembered by a Python worker.
+#: Chunks that a Python worker remembers in its newer memory; when that is full it becomes the older one.
 MEMORY = 250_000
 #: New chunks that are compared with the library at once.
 FRESH = 20_000
@@ -52,6 +61,12 @@ class Vocabulary:
         self.ids = {lib.id_to_piece(i): i for i in range(n) if not special[i]}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space mark after another character; chunks would not be independent")
+        joined = [p.lstrip(SPACE) for p in self.ids if len(p) > 1]
+        self.letters = {c for p in joined for c in p if c.isalpha()}
+        self.chunk = CHUNK
+        if self.letters and not any(0 < sum(c in self.letters for c in p) < len(p) for p in joined):
+            some = "".join(map(re.escape, sorted(self.letters)))
+            self.chunk = re.compile(f"{SPACE}*[{some}]+|{SPACE}*[^{SPACE}{some}]+|{SPACE}+")
         scores = {p: lib.get_score(i) for p, i in self.ids.items()}
         order = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {p: order[s] for p, s in scores.items()}
@@ -61,11 +76,13 @@ class Vocabulary:
         for b, i in enumerate(self.byte_ids):
             self.surface[i] = bytes([b])
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fresh: list[tuple[str, list[int]]] = []
         self.compared = bytearray(FILTER_BITS // 8)
+        self.lead_ids = {c: [self.ids[s] for s in self.merge(SPACE + c)] for c in ",a"}
         self.mark = np.array([self.begin], dtype="<u4").tobytes(), np.array([self.end], dtype="<u4").tobytes()
         # spaces at the ends and in a row, other white space, marks that a normaliser would join, a space mark of the text itself
-        for text in ("", " ", "a", " a", "a  b ", "a\tb\nc", "e\u0301 \u00e9 \ufb01 \u3000", f"a{SPACE}b {SPACE}", "\x00\u200b"):
+        for text in ("", " ", "a", " a", "a  b ", "a\tb\nc", "e\u0301 \u00e9 \ufb01 \u3000", f"a{SPACE}b {SPACE}", "\x00\u200b", "a,b. c1d_e\u0301f\u00b2g", ",a ,,a"):
             ids = self.encode(text)
             self.check(text, ids, self.decode(ids))
 
@@ -75,7 +92,7 @@ class Vocabulary:
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank, push, pop = self.rank.get, heapq.heappush, heapq.heappop
-        agenda = [r * n + i for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
+        agenda = [r * n + i for i, r in enumerate(map(rank, map(concat, chunk, chunk[1:]))) if r is not None]
         heapq.heapify(agenda)
         while agenda:
             r, i = divmod(pop(agenda), n)
@@ -92,36 +109,44 @@ class Vocabulary:
         return [s for s in symbols if s]
 
     def encode_chunk(self, chunk: str) -> bytes:
-        out: list[int] = []
-        for s in self.merge(chunk):
-            i = self.ids.get(s)
-            if i is None:
-                out += [self.byte_ids[b] for b in s.encode()]
-            else:
-                out.append(i)
-        # the library puts one space mark before a text, as the chunk has it
-        if chunk[0] == SPACE and len(chunk) > 1 and self.is_new(chunk):
-            self.fresh.append((chunk[1:].replace(SPACE, " "), out))
-            if len(self.fresh) >= FRESH:
-                self.check_fresh()
-        found = np.array(out, dtype="<u4").tobytes()
+        found = self.older.get(chunk)
+        if found is None:
+            out: list[int] = []
+            for s in self.merge(chunk):
+                i = self.ids.get(s)
+                if i is None:
+                    out += [self.byte_ids[b] for b in s.encode()]
+                else:
+                    out.append(i)
+            if self.is_new(chunk):
+                self.fresh.append(self.in_text(chunk, out))
+                if len(self.fresh) >= FRESH:
+                    self.check_fresh()
+            found = array("I", out).tobytes() if LITTLE else np.array(out, dtype="<u4").tobytes()
         if len(self.memory) >= MEMORY:
-            self.memory.clear()
+            self.older, self.memory = self.memory, {}
         if len(chunk) < 64:
             self.memory[chunk] = found
         return found
 
+    def in_text(self, chunk: str, ids: list[int]) -> tuple[str, list[int]]:
+        """A text that has the chunk, and its ids: the library puts one space mark before a text, as most chunks have it; others follow a character of the other kind."""
+        if chunk[0] == SPACE and (len(chunk) > 1 or not ids):
+            return chunk[1:].replace(SPACE, " "), ids
+        lead = "," if chunk[0] in self.letters else "a"
+        return lead + chunk.replace(SPACE, " "), self.lead_ids[lead] + ids
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, with begin and end."""
         known, new = self.memory.get, self.encode_chunk
-        chunks = CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
         body = [known(c) or new(c) for c in chunks]
         return b"".join([self.mark[0], *body, self.mark[1]])
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text: the surfaces joined, without the space that encoding put first."""
         surface = self.surface
-        raw = b"".join([surface[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        raw = b"".join(map(surface.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
         return raw[1:] if raw[:1] == b" " else raw
 
     def is_new(self, chunk: str) -> bool:
