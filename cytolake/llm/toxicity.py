@@ -2,13 +2,12 @@
 
 A text is lower-cased and its n-grams of 3 to 5 code points are hashed to 2**18
 features, each present or not.  Per feature, the two classes' counts of training
-rows that have it give its log-count ratio; the ``FEATURES`` features that tell
-the classes apart best (by the likelihood-ratio statistic) are kept, scaled by
-their ratio, and a logistic regression is fitted on them.
+rows that have it give its log-count ratio; all features are scaled by their
+ratio, and a logistic regression is fitted on them.
 
 Training rows are labelled documents outside the held-out fold: at most
 ``MAX_TRAIN``, those with the smallest hash of doc_id.  That bound makes the
-list of their ids safe to broadcast and the kept features safe to gather in one
+list of their ids safe to broadcast and their features safe to gather in one
 place.  Every document's whole text is scored.
 
 Defined cases: a null or empty text has no feature, so its score is the
