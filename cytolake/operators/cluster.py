@@ -149,6 +149,60 @@ def cut_tree(merges: list[tuple[int, int, float, int]], n: int, k: int) -> list[
     return [names.setdefault(top(i), len(names)) for i in range(n)]
 
 
+def leaf_order(merges: list[tuple[int, int, float, int]], n: int) -> list[int]:
+    """The leaves as a drawn tree has them, from left to right."""
+    below = {i: [i] for i in range(n)}
+    for step, (a, b, _, _) in enumerate(merges):
+        below[n + step] = below.pop(a) + below.pop(b)
+    return [i for part in below.values() for i in part]
+
+
+#: Groups whose tree is made in one place.
+MAX_GROUPS = 2000
+
+
+def group_order(rows: DataFrame, feature: str, group: str, value: str, method: str = "complete") -> list[str]:
+    """The groups in the order of the leaves of their dendrogram: linkage of 1 - correlation of their mean values over the features."""
+    from .ranked import correlations
+
+    names = sorted(r[0] for r in rows.select(group).filter(F.col(group).isNotNull()).distinct().limit(MAX_GROUPS + 1).collect())
+    if len(names) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    place = {g: i for i, g in enumerate(names)}
+    means = rows.groupBy(feature, group).agg(F.avg(value).alias("m"))
+    d = np.ones((len(names), len(names)))
+    for r in correlations(means, feature, group, "m").collect():
+        if r["r"] is not None:
+            d[place[r["a"]], place[r["b"]]] = d[place[r["b"]], place[r["a"]]] = 1 - round(r["r"], 9)
+    return [names[i] for i in leaf_order(linkage(d, method), len(names))]
+
+
+def edge_table(rows: DataFrame, key: str, vec: str) -> DataFrame:
+    """(src, dst, weight) of the entries other than 0 of an adjacency matrix, a row an array; columns count from 0."""
+    each = rows.select(F.col(key).cast("long").alias("src"), F.posexplode(F.col(vec).cast("array<double>")).alias("dst", "weight"))
+    return each.filter("weight <> 0").select("src", F.col("dst").cast("long").alias("dst"), "weight")
+
+
+def resolution_search(find, wanted: int, low: float = 0.0, high: float = 3.0, steps: int = 20) -> tuple[float, DataFrame]:
+    """(resolution, labels) with the wanted number of communities, by halving; that which came nearest if none has it.
+
+    ``find(resolution)`` gives (id, community); a higher resolution gives more communities.
+    """
+    best = None
+    for _ in range(steps):
+        middle = (low + high) / 2
+        labels = find(middle)
+        n = labels.select("community").distinct().count()
+        if best is None or abs(n - wanted) < best[0]:
+            best = abs(n - wanted), middle, labels
+        if n == wanted:
+            break
+        low, high = (middle, high) if n < wanted else (low, middle)
+    if best is None:
+        raise ValueError("no steps")
+    return best[1], best[2]
+
+
 def contingency(labels: DataFrame, a: str, b: str) -> DataFrame:
     return labels.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
 

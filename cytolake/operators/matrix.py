@@ -180,3 +180,37 @@ def length_report(regions: DataFrame, kind: str) -> DataFrame:
     """Per kind: number, mean, least and largest length."""
     length = F.col("end_pos") - F.col("start_pos")
     return regions.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_length"), F.min(length).alias("shortest"), F.max(length).alias("longest"))
+
+
+def column_spread(matrix: DataFrame) -> DataFrame:
+    """Per region, over the cells that cover it: mean, population variance, median and median absolute deviation."""
+    middle = F.median("mean").over(Window.partitionBy("region"))
+    mean, var = exact_moments("mean", 1000)
+    mad = F.median(F.abs(F.col("mean") - F.col("_middle")))
+    return matrix.withColumn("_middle", middle).groupBy("region").agg(mean.alias("mean"), var.alias("var"), F.max("_middle").alias("median"), mad.alias("mad"))
+
+
+def within(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """Rows within the bounds of each column, both included; a bound of None or 0 is none."""
+    ok = F.lit(True)
+    for c, (low, high) in bounds.items():
+        if low:
+            ok = ok & (F.col(c) >= low)
+        if high:
+            ok = ok & (F.col(c) <= high)
+    return df.filter(ok)
+
+
+def pass_rates(df: DataFrame, above: dict[str, float], below: dict[str, float]) -> DataFrame:
+    """metric, passed, total, rate: how many rows are strictly above or below each cut-off, in one pass."""
+    tests = [(c, F.col(c) > x) for c, x in above.items()] + [(c, F.col(c) < x) for c, x in below.items()]
+    one = df.agg(F.count(F.lit(1)).alias("total"), F.array(*[F.struct(F.lit(c).alias("metric"), F.count_if(t).alias("passed")) for c, t in tests]).alias("m"))
+    each = one.select("total", F.inline("m"))
+    return each.select("metric", "passed", "total", F.when(F.col("total") > 0, F.col("passed") / F.col("total")).alias("rate"))
+
+
+def require_rates(rates: DataFrame, least: float = 0.6) -> None:
+    """An error if a cut-off is passed by this share of the rows or less."""
+    bad = sorted(r["metric"] for r in rates.filter(F.coalesce(F.col("rate") <= least, F.lit(True))).collect())
+    if bad:
+        raise ValueError(f"too few rows pass the cut-offs of {', '.join(bad)}; check them or the data's quality")

@@ -107,3 +107,11 @@ def beta_moments(mean: Column, var: Column) -> tuple[Column, Column]:
     """Parameters of the beta distribution with this mean and variance (null where there is none)."""
     common = F.when((var > 0) & (var < mean * (1 - mean)), mean * (1 - mean) / var - 1)
     return mean * common, (1 - mean) * common
+
+
+def intergenic_names(features: DataFrame, save, name: str, *order: str) -> DataFrame:
+    """``features`` with the name intergenic_0, intergenic_1, ... for those whose ``feature`` is intergenic, in the given order."""
+    inter = F.col("feature") == "intergenic"
+    numbered = global_rank(features.filter(inter), save, *order)
+    fresh = numbered.withColumn(name, F.concat(F.lit("intergenic_"), (F.col("rank") - 1).cast("string"))).drop("rank")
+    return features.filter(~F.coalesce(inter, F.lit(False))).unionByName(fresh)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, core, results
+from . import analysis, core, locus, results
 
-MODULES = (core, analysis, results)
+MODULES = (core, analysis, results, locus)
 
 
 def queries() -> dict:

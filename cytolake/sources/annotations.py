@@ -94,3 +94,8 @@ def triplets(spark: SparkSession, path: str) -> DataFrame:
     first = rows.agg(F.min("n")).first()[0]
     body = rows.filter(F.col("n") != first)
     return body.select(F.col("f")[0].cast("long").alias("row"), F.col("f")[1].cast("long").alias("column"), F.coalesce(F.get("f", F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))
+
+
+def meta_values(spark: SparkSession, path: str, column: str = "sample", sep: str = ",") -> DataFrame:
+    """The distinct values of a column of a metadata file with a header."""
+    return spark.read.csv(path, header=True, sep=sep).select(column).distinct()
