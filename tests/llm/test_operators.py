@@ -340,6 +340,23 @@ def test_pieces_equal_the_library():
         v.check("abc", v.encode("abd"), b"abd")
 
 
+def test_every_kind_of_chunk_is_compared_with_the_library():
+    v = pieces.Vocabulary(tokenizer("piece_bpe_32k.model"))
+    assert v.chunk.findall("▁one,two▁▁3x▁") == ["▁one", ",", "two", "▁▁3", "x", "▁"]
+    rng = random.Random(2)
+    for _ in range(3000):
+        t = "".join(rng.choice(["the", "und", " ", "  ", ", ", ".", "\n", "é", "²", "0", "▁", "($", "Ω"]) for _ in range(rng.randint(0, 20)))
+        ids = v.encode(t)
+        v.check(t, ids, v.decode(ids))
+    v.check_fresh()
+    for chunk in ("▁one", "▁▁3", ",", "two", "▁", "▁▁"):
+        ids = np.frombuffer(v.encode_chunk(chunk), dtype="<u4").tolist()
+        for wrong in (ids[:-1], ids + ids):
+            v.fresh = [v.in_text(chunk, wrong)]
+            with pytest.raises(ValueError):
+                v.check_fresh()
+
+
 # 9
 
 
