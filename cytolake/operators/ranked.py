@@ -103,10 +103,21 @@ def correlations(rows: DataFrame, row: str, column: str, value: str) -> DataFram
     return sums.select("a", "b", "n", F.when(below > 0, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / below).alias("r"))
 
 
-def beta_moments(mean: Column, var: Column) -> tuple[Column, Column]:
-    """Parameters of the beta distribution with this mean and variance (null where there is none)."""
-    common = F.when((var > 0) & (var < mean * (1 - mean)), mean * (1 - mean) / var - 1)
-    return mean * common, (1 - mean) * common
+def beta_moments(matrix: DataFrame, least: float = 1e-12) -> DataFrame:
+    """region, alpha, beta: parameters of the beta distribution with the region's mean and population variance.
+
+    Null where there is none: a variance up to ``least``, or not below mean * (1 - mean), which holds where all means are 0 or 1.
+    Means have three places and are taken as thousandths, so that sums are integers and no order of rows shows.
+    """
+    whole = lambda c: c.cast("decimal(19,0)")
+    k = F.floor(F.col("mean") * 1000.0 + 0.5)
+    sums = matrix.filter("mean IS NOT NULL").groupBy("region").agg(F.count("mean").alias("n"), F.sum(k).alias("total"), F.sum(k * k).alias("squares"))
+    n, total, squares = (whole(F.col(c)) for c in ("n", "total", "squares"))
+    spread = ((n * squares).cast("decimal(38,0)") - (total * total).cast("decimal(38,0)")).cast("double")
+    room = whole(F.col("total") * 1000 - F.col("squares"))
+    told = (room > 0) & (spread / (F.col("n").cast("double") * F.col("n") * 1e6) > least)
+    of = lambda part: F.when(told, (part * room).cast("double") / (spread * 1000.0))
+    return sums.select("region", of(total).alias("alpha"), of(whole(F.col("n") * 1000 - F.col("total"))).alias("beta"))
 
 
 def intergenic_names(features: DataFrame, save, name: str, *order: str) -> DataFrame:

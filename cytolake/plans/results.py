@@ -268,9 +268,7 @@ def agg_column_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH m AS ({TILED}), s AS (SELECT region, avg(mean) AS u, var_pop(mean) AS v FROM m GROUP BY region)
 SELECT region, CASE WHEN v > 1e-12 AND v < u * (1 - u) THEN round(u * (u * (1 - u) / v - 1), 4) END AS alpha, CASE WHEN v > 1e-12 AND v < u * (1 - u) THEN round((1 - u) * (u * (1 - u) / v - 1), 4) END AS beta FROM s""")
 def agg_beta_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = matrix.region_stats(tiled(spark, sf_dir), guard=False)
-    a, b = ranked.beta_moments(F.col("mean"), F.col("var"))
-    return s.select("region", F.round(a, 4).alias("alpha"), F.round(b, 4).alias("beta"))
+    return ranked.beta_moments(tiled(spark, sf_dir)).select("region", F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"))
 
 
 @query(f"WITH m AS ({TILED}) SELECT cell_id, count(*) AS n, floor(CAST(sum(CAST(round(mean * 1000) AS BIGINT)) AS DOUBLE) / (count(*) * CAST(1000 AS DOUBLE)) * 1e6 + 0.5) / 1e6 AS mean FROM m WHERE region IN ('chr1:1-{TILE}', 'chr2:1-{TILE}', 'chr3:1-{TILE}', 'chr4:101-200') GROUP BY cell_id")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cytolake.operators import cluster, embed, locus, matrix
+from cytolake.operators import cluster, embed, locus, matrix, ranked
 from cytolake.sources import annotations
 
 FEATURES = "chrom string, feature string, start_pos long, end_pos long, strand string, gene_name string, gene_type string"
@@ -76,3 +76,12 @@ def test_resolution_search(spark):
 def test_meta_values(spark, tmp_path):
     (tmp_path / "meta.csv").write_text("cell,sample\na,s1\nb,s2\nc,s1\n")
     assert sorted(r[0] for r in annotations.meta_values(spark, str(tmp_path / "meta.csv")).collect()) == ["s1", "s2"]
+
+
+def test_beta_moments_from_integers(spark):
+    means = {"ones": [0.0] * 2 + [1.0], "more": [0.0] * 4 + [1.0] * 5, "same": [0.3] * 4, "two": [0.2, 0.4, 0.4], "one": [0.5]}
+    df = spark.createDataFrame([(r, c, m) for r, x in means.items() for c, m in enumerate(x)], "region string, cell_id int, mean double")
+    got = {r.region: (r.alpha, r.beta) for r in ranked.beta_moments(df).collect()}
+    assert {r for r, v in got.items() if v == (None, None)} == {"ones", "more", "same", "one"}
+    u, v = 1 / 3, 0.08 / 9
+    assert got["two"] == pytest.approx((u * (u * (1 - u) / v - 1), (1 - u) * (u * (1 - u) / v - 1)))
