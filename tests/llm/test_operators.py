@@ -447,6 +447,44 @@ def test_scores_of_unseen_texts_beat_the_base(spark, sf_dir):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_weights_are_learned_from_all_windows(spark, sf_dir, monkeypatch):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    seen, answer = [], mixing.window_answers
+    monkeypatch.setattr(mixing, "window_answers", lambda asked, grams, held, weights, apm: seen.append((grams.toArrow(), weights, mixing.low_tables(*held.value), apm)) or answer(asked, grams, held, weights, apm))
+    mixing.score(spark, d)
+    grams, w, tables, apm = seen[0]
+    loss, slope, bend, places = 0.0, np.zeros(w.shape), np.zeros((*w.shape, w.shape[1])), np.zeros((2, 256, mixing.APM_BINS))
+    windows = 0
+    for keys, n in mixing.slice_rows(grams):
+        high, pick = mixing.high_counts(keys, n), np.flatnonzero(n)
+        keys, n, high = keys[pick], n[pick].astype(float), high[:, :, pick]
+        words, row = mixing.word_order(keys), np.arange(len(keys))
+        windows += len(keys)
+        for bit in range(8):
+            q, b = mixing.pairs_of(tables, high, keys, words, bit), mixing.bits_of(keys, bit)
+            q[:, row, b] = mixing.without_one(q[:, row, b])
+            x, g = mixing.inputs(q)
+            z = np.einsum("ei,ei->e", x, w[g])
+            p = mixing.squash(z)
+            loss -= np.sum(n * np.log(np.where(b == 1, p, 1 - p)))
+            low, up = mixing.apm_place(z)
+            node = (1 << bit) | ((keys & np.uint64(0xFF)) >> np.uint64(8 - bit)).astype(np.int64)
+            for k, share in ((low, 1 - up), (low + 1, up)):
+                np.add.at(places, (0, node, k), n * share * b)
+                np.add.at(places, (1, node, k), n * share)
+            for gate in np.unique(g):
+                of = g == gate
+                v = x[of].astype(float)
+                slope[gate] += (n[of] * (b - p)[of]) @ v
+                bend[gate] += (v * (n * p * (1 - p))[of][:, None]).T @ v
+    assert windows > 100_000
+    # no step of any gate promises more than a little, so no window's share is missing
+    gain = sum(s @ np.linalg.lstsq(h + np.eye(len(h)), s)[0] for s, h in zip(slope, bend))
+    assert gain < 1e-3 * loss
+    ones, seen_before = mixing.start_apm()
+    assert np.allclose(apm, (ones + places[0]) / (seen_before + places[1]), atol=1e-8)
+
+
 def plain_guesses(key, own, train):
     """As ``guesses``, piece by piece."""
     out = []
