@@ -80,33 +80,39 @@ def merge_intervals(df: DataFrame, gap: int = 0) -> DataFrame:
     return island.groupBy("chrom", "_island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n_merged")).drop("_island")
 
 
-def nearest(regions: DataFrame, genes: DataFrame, key: str, gene_key: str) -> DataFrame:
+def _so_far(rows: DataFrame, best: Column, block: int) -> DataFrame:
+    """``rows`` with ``hit``: the largest ``best`` at a smaller ``at`` on the chromosome.
+
+    Rows are ordered within blocks; a block gets the best of all blocks before from their list, a row a block.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col("at") / block))
+    own = Window.partitionBy("chrom", "_block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("chrom").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("chrom", "_block").agg(F.max(best).alias("_top")).withColumn("_carried", F.max("_top").over(before)).drop("_top")
+    found = rows.withColumn("_own", F.max(best).over(own)).filter("is_region = 1")
+    return found.join(carried, ["chrom", "_block"]).withColumn("hit", F.greatest("_own", "_carried")).filter("hit IS NOT NULL")
+
+
+def nearest(regions: DataFrame, genes: DataFrame, key: str, gene_key: str, block: int = 50_000) -> DataFrame:
     """One nearest gene per region: distance 0 when overlapping, else the gap; ties by gene start, end and id.
 
     Candidates are the overlapping genes, the last to end before and the first
-    to start after the region, found by running extremes over one ordered union.
+    to start after the region, found by running extremes over ordered blocks of positions.
     """
-    region = regions.select("chrom", F.col(key), F.col("start_pos").alias("rs"), F.col("end_pos").alias("re"))
     gene = genes.select("chrom", F.col(gene_key), F.col("start_pos").alias("gs"), F.col("end_pos").alias("ge"))
     inside = overlap_join(regions.select("chrom", key, "start_pos", "end_pos"), genes.select("chrom", gene_key, "start_pos", "end_pos"))
     inside = inside.select(key, F.col(f"other_{gene_key}").alias(gene_key), F.lit(0).cast("long").alias("distance"), F.col("other_start_pos").alias("gs"), F.col("other_end_pos").alias("ge"))
 
-    def side(order: Column, at_gene: Column, best: Column, pick) -> DataFrame:
-        g = gene.select("chrom", at_gene.alias("at"), best.alias("best"), F.lit(None).cast(regions.schema[key].dataType).alias(key), F.lit(None).cast("long").alias("rs"), F.lit(None).cast("long").alias("re"), F.lit(0).alias("is_region"))
-        r = region.select("chrom", order.alias("at"), F.lit(None).cast(g.schema["best"].dataType).alias("best"), key, "rs", "re", F.lit(1).alias("is_region"))
-        return g.unionByName(r)
-
-    # before: the largest end below the region's start; among equal ends the smallest start and id
-    prev = side(F.col("rs"), F.col("ge"), F.struct(F.col("ge").alias("a"), (-F.col("gs")).alias("b"), F.col("gs"), F.col("ge"), F.col(gene_key)), F.max)
-    w = Window.partitionBy("chrom").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    prev = prev.withColumn("hit", F.max("best").over(w)).filter("is_region = 1 AND hit IS NOT NULL")
-    tied = prev.select("chrom", key, "rs", F.col("hit.a").alias("edge"))
-    prev = tied.join(gene.withColumnRenamed("ge", "edge"), ["chrom", "edge"]).select(key, gene_key, (F.col("rs") - F.col("edge")).alias("distance"), "gs", F.col("edge").alias("ge"))
-    after = side(F.col("re"), F.col("gs"), F.struct(F.col("gs").alias("a"), F.col("ge").alias("b"), F.col("gs"), F.col("ge"), F.col(gene_key)), F.min)
-    w = Window.partitionBy("chrom").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
-    after = after.withColumn("hit", F.min("best").over(w)).filter("is_region = 1 AND hit IS NOT NULL")
-    after = after.select(key, F.col(f"hit.{gene_key}").alias(gene_key), (F.col("hit.gs") - F.col("re")).alias("distance"), F.col("hit.gs").alias("gs"), F.col("hit.ge").alias("ge"))
-    every = inside.unionByName(prev).unionByName(after)
+    def side(gene_at: str, region_at: str, sign: int) -> DataFrame:
+        """Of each region the gene whose ``gene_at`` is nearest on one side; of those that share it, the first by start, end and id."""
+        edges = gene.groupBy("chrom", (sign * F.col(gene_at)).alias("hit")).agg(F.min(F.struct("gs", "ge", gene_key)).alias("g"))
+        g = edges.select("chrom", F.col("hit").alias("at"), F.lit(None).cast(regions.schema[key].dataType).alias(key), F.lit(0).alias("is_region"))
+        r = regions.select("chrom", (sign * F.col(region_at)).alias("at"), key, F.lit(1).alias("is_region"))
+        hit = _so_far(g.unionByName(r), F.when(F.col("is_region") == 0, F.col("at")), block)
+        return hit.join(edges, ["chrom", "hit"]).select(key, F.col(f"g.{gene_key}").alias(gene_key), (F.col("at") - F.col("hit")).alias("distance"), "g.gs", "g.ge")
+
+    # on the right the axis is turned round, so that both sides look at what came before
+    every = inside.unionByName(side("ge", "start_pos", 1)).unionByName(side("gs", "end_pos", -1))
     best = every.groupBy(key).agg(F.min(F.struct("distance", "gs", "ge", gene_key)).alias("best"))
     return regions.select(key).join(best, key, "left").select(key, F.col(f"best.{gene_key}").alias(gene_key), F.col("best.distance").alias("distance"))
 

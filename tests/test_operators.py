@@ -51,6 +51,29 @@ def test_blocks_do_not_change_the_smooth_track(spark):
         assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
 
 
+@pytest.mark.parametrize("block", [7, 50_000])
+def test_nearest_by_force(spark, block):
+    rng = np.random.default_rng(4)
+    spans = lambda n, name, width: [(f"{name}{k}", f"c{rng.integers(0, 3)}", int(s), int(s + rng.integers(0, width))) for k, s in enumerate(rng.integers(-50, 150, n))]
+    regions = [*spans(120, "r", 6), ("alone", "c9", 1, 2)]
+    genes = spans(25, "g", 9)
+    genes += [(f"{g}x", c, s, e) for g, c, s, e in genes[:5]] + [("only", "c8", 1, 2)]
+    cut = lambda rows, name: spark.createDataFrame(rows, f"{name} string, chrom string, start_pos long, end_pos long")
+    frame = axis.nearest(cut(regions, "region"), cut(genes, "gene_id"), "region", "gene_id", block)
+    want = {}
+    for r, c, s, e in regions:
+        found = [(0 if gs <= e and s <= ge else max(gs - e, s - ge), gs, ge, g) for g, gc, gs, ge in genes if gc == c]
+        want[r] = (min(found)[3], min(found)[0]) if found else (None, None)
+    assert {r.region: (r.gene_id, r.distance) for r in frame.collect()} == want
+
+
+def test_nearest_looks_back_only(spark):
+    """A frame to the end of a partition is computed anew for each row, in time that grows with the square."""
+    one = lambda name: spark.createDataFrame([("a", "c", 1, 2)], f"{name} string, chrom string, start_pos long, end_pos long")
+    plan = axis.nearest(one("region"), one("gene_id"), "region", "gene_id")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_merge_and_gaps(spark):
     df = spark.createDataFrame([("c", 1, 5), ("c", 5, 8), ("c", 2, 3), ("c", 10, 11)], "chrom string, start_pos long, end_pos long")
     assert sorted((r.start_pos, r.end_pos, r.n_merged) for r in axis.merge_intervals(df).collect()) == [(1, 8, 3), (10, 11, 1)]
