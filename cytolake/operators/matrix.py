@@ -124,14 +124,37 @@ def minmax(matrix: DataFrame, by: str) -> DataFrame:
     return matrix.withColumn("scaled", F.when(high > low, (F.col("mean") - low) / (high - low)).otherwise(F.lit(0.0)))
 
 
-def impute(matrix: DataFrame, cells: DataFrame, how: str = "mean") -> DataFrame:
-    """Every (cell, covered region) with its mean, the missing ones from the region's mean, median, mode or 0."""
+#: Cells of a list, about; up to how many cells all lists are broadcast, and copies of each list beyond that.
+CELLS_PER_LIST, BROADCAST_CELLS, LIST_COPIES = 4096, 1_000_000, 64
+
+
+def impute(matrix: DataFrame, cells: DataFrame, how: str = "mean", places: int | None = None) -> DataFrame:
+    """Every (cell, covered region) with its mean, the missing ones from the region's mean, median, mode or 0, rounded if ``places`` is given.
+
+    The dense matrix is the result asked for, but it is never shuffled: cells are dealt to lists, a region meets each
+    list once, with the means it has there, and the rows are unfolded by the task that hands them out.
+    """
     stat = {"mean": F.avg("mean"), "median": F.median("mean"), "most_frequent": F.mode("mean", deterministic=True), "constant": F.lit(0.0)}[how]
-    fill = matrix.groupBy("region").agg(stat.alias("fill"))
-    # the dense matrix is the result asked for: every region's row list is exploded over the cells it misses
+    told = lambda c: c if places is None else F.round(c, places)
+    fill = matrix.groupBy("region").agg(told(stat).alias("fill"))
     ids = cells.select("cell_id").distinct()
-    dense = fill.crossJoin(F.broadcast(ids)) if ids.count() <= 100_000 else fill.crossJoin(ids)
-    return dense.join(matrix.select("cell_id", "region", "mean"), ["cell_id", "region"], "left").select("cell_id", "region", F.coalesce("mean", "fill").alias("value"), F.col("mean").isNull().alias("imputed"))
+    n = ids.count()
+    lists = max(1, -(-n // CELLS_PER_LIST))
+    place = F.pmod(F.xxhash64("cell_id"), F.lit(lists)).alias("_list")
+    dealt = ids.groupBy(place).agg(F.sort_array(F.collect_list(F.struct("cell_id"))).getField("cell_id").alias("_cells"))
+    own = F.struct("cell_id", told(F.col("mean")).alias("value"), F.lit(False).alias("imputed"))
+    known = matrix.filter("mean IS NOT NULL").join(ids, "cell_id", "left_semi").groupBy(place, "region").agg(F.collect_list(own).alias("_known"))
+    # in this order of keys the rows of a list follow each other, so that the column of cells repeats and packs well
+    wide = fill.crossJoin(F.broadcast(dealt.select("_list"))).join(known, ["_list", "region"], "left")
+    if n <= BROADCAST_CELLS:
+        wide = wide.join(F.broadcast(dealt), "_list")
+    else:
+        copies = dealt.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(LIST_COPIES - 1))))
+        wide = wide.withColumn("_copy", F.pmod(F.xxhash64("region"), F.lit(LIST_COPIES)).cast("int")).join(copies, ["_list", "_copy"])
+    none = F.array().cast(known.schema["_known"].dataType)
+    missing = F.array_except("_cells", F.coalesce(F.col("_known.cell_id"), F.array().cast(dealt.schema["_cells"].dataType)))
+    filled = F.transform(missing, lambda c: F.struct(c.alias("cell_id"), F.col("fill").alias("value"), F.lit(True).alias("imputed")))
+    return wide.select("region", F.explode(F.concat(F.coalesce("_known", none), filled)).alias("x")).select("x.cell_id", "region", "x.value", "x.imputed")
 
 
 def pivoted(matrix: DataFrame, regions: list[str]) -> DataFrame:

@@ -322,7 +322,7 @@ SELECT c.cell_id, s.region, round(coalesce(m.mean, s.fill), 6) AS value, m.mean
 
 @query(_imputed("avg"))
 def imp_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.impute(tiled(spark, sf_dir), view(spark, sf_dir, "cells"), "mean").withColumn("value", F.round("value", 6))
+    return matrix.impute(tiled(spark, sf_dir), view(spark, sf_dir, "cells"), "mean", 6)
 
 
 @query(_imputed("median"))

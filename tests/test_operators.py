@@ -51,6 +51,25 @@ def test_blocks_do_not_change_the_smooth_track(spark):
         assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_imputed_rows_are_not_shuffled(spark, monkeypatch, limit):
+    monkeypatch.setattr(matrix, "CELLS_PER_LIST", 4)
+    monkeypatch.setattr(matrix, "BROADCAST_CELLS", limit)
+    rows = [(c, f"r{k}", (7 * c + k) % 11 / 10) for k in range(40) for c in range(-1, 12) if (c * 31 + k * 17) % 5 == 0]  # cell -1 is no cell
+    m = spark.createDataFrame([*rows, (None, "r0", 0.5)], "cell_id int, region string, mean double")
+    cells = spark.createDataFrame([(c,) for c in [*range(12), 3, None]], "cell_id int")
+    frame = matrix.impute(m, cells, "median")
+    known = {(c, r): x for c, r, x in rows}
+    of = {r: [x for _, q, x in [*rows, (None, "r0", 0.5)] if q == r] for _, r, _ in rows}
+    want = {(c, r): (known[c, r], False) if (c, r) in known else (round(float(np.median(x)), 9), True) for r, x in of.items() for c in [*range(12), None]}
+    got = frame.collect()
+    assert len(got) == len(want) and {(r.cell_id, r.region): (round(r.value, 9), r.imputed) for r in got} == want
+    # above the rows that unfold into the dense matrix there is no join, sort or exchange
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert not {"Join", "Aggregate", "Repartition", "Sort"} & {w for line in plan.split("Generate explode(concat")[0].splitlines() for w in line.split()}
+    assert "Generate explode(concat" in plan
+
+
 @pytest.mark.parametrize("block", [7, 50_000])
 def test_nearest_by_force(spark, block):
     rng = np.random.default_rng(4)
