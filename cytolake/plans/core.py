@@ -327,4 +327,4 @@ def imp_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_imputed("median"))
 def imp_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.impute(tiled(spark, sf_dir), view(spark, sf_dir, "cells"), "median").withColumn("value", F.round("value", 6))
+    return matrix.impute(tiled(spark, sf_dir), view(spark, sf_dir, "cells"), "median", 6)
