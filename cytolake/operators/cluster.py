@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,33 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside / total - resolution * square / (2 * total) ** 2
 
 
+#: Edges (both ways) up to which a level's moves are made in one place, on arrays of that size.
+LOCAL_EDGES = 2_000_000
+
+
+def _local_moves(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, ids: np.ndarray, k: np.ndarray, twice: float, resolution: float) -> np.ndarray:
+    """The community of each node (ids ascending) after moves of one node after another, until none gains by one; ties go to the lowest number."""
+    order = np.lexsort((dst, src))
+    to, w = np.searchsorted(ids, dst[order]).tolist(), weight[order].tolist()
+    first = np.searchsorted(src[order], ids).tolist() + [len(to)]
+    of, total, k = list(range(len(ids))), k.astype(float).tolist(), k.astype(float).tolist()
+    moved = True
+    while moved:
+        moved = False
+        for node, mass in enumerate(k):
+            own = of[node]
+            near = {own: 0.0}
+            for e in range(first[node], first[node + 1]):
+                near[of[to[e]]] = near.get(of[to[e]], 0.0) + w[e]
+            total[own] -= mass
+            gain = {c: round(x - resolution * mass * total[c] / twice, 12) for c, x in near.items()}
+            best = min(gain, key=lambda c: (-gain[c], c))
+            if gain[best] > gain[own]:
+                of[node], moved = best, True
+            total[of[node]] += mass
+    return ids[np.array(of, dtype=np.int64)] if len(ids) else ids
+
+
 def _moves(both: DataFrame, nodes: DataFrame, twice: float, save, level: int, resolution: float) -> tuple[DataFrame, bool]:
     """(id, k, community) after local moves from single nodes on until no node gains by one, and whether any moved.
 
@@ -36,7 +64,8 @@ def _moves(both: DataFrame, nodes: DataFrame, twice: float, save, level: int, re
     largest gain, a share of them by a hash that changes each round, so two
     nodes rarely swap.  A round that doesn't raise modularity is taken back and
     the share halved, at last to the one node with the largest advantage; so
-    modularity rises with each round that stays, and the rounds end.
+    modularity rises with each round that stays, and the rounds end.  A graph of
+    ``LOCAL_EDGES`` at most is gathered, and its nodes move one after another.
     """
 
     def quality(labels: DataFrame) -> float:
@@ -45,6 +74,13 @@ def _moves(both: DataFrame, nodes: DataFrame, twice: float, save, level: int, re
         square = labels.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
         return inside / twice - resolution * square / twice**2
 
+    if both.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES and nodes.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        edge, node = both.select("src", "dst", "weight").toArrow(), nodes.select("id", "k").toArrow()
+        order = np.argsort(node["id"].to_numpy())
+        ids, k = node["id"].to_numpy()[order], node["k"].to_numpy()[order]
+        to = _local_moves(*(edge[c].to_numpy() for c in ("src", "dst", "weight")), ids, k, twice, resolution)
+        found = pa.table({"id": ids, "k": k, "community": to})
+        return save(both.sparkSession.createDataFrame(found), f"labels_{level}"), bool((to != ids).any())
     labels = save(nodes.select("id", "k", F.col("id").alias("community")), f"labels_{level}_0")
     now, moved, turn, halvings, wanted = quality(labels), False, 0, 1, None
     while True:

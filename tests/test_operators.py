@@ -51,6 +51,33 @@ def test_blocks_do_not_change_the_smooth_track(spark):
         assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
 
 
+def test_nearest_of_blocks_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(embed, "BLOCK", 64)
+    x = np.random.default_rng(7).integers(0, 3, (300, 4)).astype(float) + [0, 0, 0, 1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    d = np.round(embed.distances(x, x, "euclidean"), 9)
+    want = {(i, r + 1): (int(j), d[i, j]) for i in range(300) for r, j in enumerate(np.lexsort((np.arange(300), d[i]))[:5])}
+    assert {(r.i, r["rank"]): (r.j, r.d) for r in embed.neighbours(df, "k", "v", 5, "euclidean").collect()} == want
+
+
+def test_communities_of_a_small_graph_take_few_tables(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (400, 2)) if a != b and (a // 12 == b // 12 or rng.random() < 0.1)}
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(pairs)], "src long, dst long, weight double")
+    tables = []
+
+    def save(frame, name):
+        tables.append(name)
+        frame.write.parquet(f"{tmp_path}/{len(tables)}")
+        return spark.read.parquet(f"{tmp_path}/{len(tables)}")
+
+    near = cluster.communities(df, save)
+    levels = sum(n.startswith("found") for n in tables)
+    assert len(tables) == 2 + 4 * levels + 1 and sorted(r.id for r in near.collect()) == sorted({x for p in pairs for x in p})
+    monkeypatch.setattr(cluster, "LOCAL_EDGES", 0)  # rounds over all nodes at once
+    assert cluster.modularity(df, near) > cluster.modularity(df, cluster.communities(df, save)) - 0.02
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 3])
 def test_imputed_rows_are_not_shuffled(spark, monkeypatch, limit):
     monkeypatch.setattr(matrix, "CELLS_PER_LIST", 4)
