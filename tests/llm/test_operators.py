@@ -3,15 +3,17 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cytolake.llm import fingerprints, jaccard, mixing, oracle, packing, passages, pieces, pii, quality, queries, toxicity, urls
+from cytolake.llm import common, fingerprints, jaccard, mixing, oracle, packing, passages, pieces, pii, quality, queries, toxicity, urls
 from cytolake.llm.queries import tokenizer
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -441,6 +443,32 @@ def test_scores_depend_on_the_documents_only(spark, sf_dir, monkeypatch):
     assert (one.train_tokens.to_numpy() == many.train_tokens.to_numpy()).all()
 
 
+def test_mixing_drops_the_questions_and_shuffle_files_of_each_step(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"word {i % 7} and {i * i} more of it") for i in range(300)], "doc_id long, text string")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    last_shuffle = lambda: max(map(int, re.findall(r"shuffle_(\d+)", manager.getAllFiles().mkString(" "))), default=-1)
+    stages, gone, tables, last = [], [], [], mixing.scored
+
+    class Stage(common.Stage):
+        def settle(self):
+            newest, end = last_shuffle(), time.time() + 20
+            super().settle()
+            while last_shuffle() == newest and time.time() < end:  # Spark removes the files a little later
+                time.sleep(0.2)
+            gone.append(last_shuffle() < newest)
+
+    def scored(*args):
+        root = Path(stages[0].root)
+        tables.extend(sorted({str(p.parent.relative_to(root)) for p in root.rglob("*.parquet")}))
+        return last(*args)
+
+    monkeypatch.setattr(mixing, "Stage", lambda *args: stages.append(Stage(*args)) or stages[-1])
+    monkeypatch.setattr(mixing, "scored", scored)
+    assert mixing.score(spark, d).count() == 300
+    assert gone == [True] * 4
+    assert tables == ["blocks/kind=text", "pieces", "windows", "words"]
+
+
 def test_scores_of_unseen_texts_beat_the_base(spark, sf_dir):
     got = mixing.score(spark, spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")).toPandas()
     held = got[got.held_out]
