@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, lean
 
 WINDOW = 2048
 END_ID = 1
@@ -154,7 +154,7 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 [owners.take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), PIECES)
 
 
 def combinations(classes: int, depth: int) -> list[tuple[int, ...]]:

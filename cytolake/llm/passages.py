@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, aside
+from .common import Stage, aside, lean
 
 #: Words of a sentence that closes a unit.
 CLOSING = 5
@@ -80,7 +80,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["doc_id", "unit", "h1", "h2"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, unit int, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, unit int, h1 long, h2 long")
 
 
 def removals(stage: Stage, docs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{fields}, {ADDED}")
+    return joined.mapInArrow(lean(run), f"{fields}, {ADDED}")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

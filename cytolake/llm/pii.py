@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 ANY = re.compile("[0-9@]")
@@ -205,7 +207,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
                     seen["|".join([",".join(map(str, g.shapes[k])), str(before[k]), str(after[k]), ",".join(str(x) for x, m in sorted(Counter(over[k]).items()) for _ in range(min(m, OVER_MOST))), str(g.label[k])])] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["row", "n"])
 
-    return docs.select("text").mapInArrow(run, "row string, n long").groupBy("row").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "row string, n long").groupBy("row").agg(F.sum("n").alias("n"))
 
 
 class Weights:
@@ -361,7 +363,7 @@ def find(docs: DataFrame, w: Weights) -> DataFrame:
                 names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -394,4 +396,4 @@ def redact(docs: DataFrame, w: Weights) -> DataFrame:
             columns[place] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -2,6 +2,8 @@
 
 import zlib
 
+import numpy as np
+import psutil
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,23 @@ def test_id_blocks_keep_order(spark, most):
     docs = spark.createDataFrame([(x,) for x in (5, 1, 9, 900, 901, 10**12, None, 7, 7, 3)], "doc_id long")
     rows = docs.select("doc_id", common.id_blocks(docs, "doc_id", 2, most).alias("b")).filter("doc_id IS NOT NULL").orderBy("doc_id").collect()
     assert [r.b for r in rows] == sorted(r.b for r in rows) and len({r.b for r in rows if r.doc_id == 7}) == 1
+
+
+def test_a_worker_gives_memory_back_after_a_task():
+    pinned, rss = [], lambda: psutil.Process().memory_info().rss / 1e6
+
+    def run(batches):
+        for _ in batches:
+            held = [np.ones(12_000) for _ in range(1500)]  # 144 MB in pieces that the allocator keeps
+            pinned.append(np.ones(12_000))
+            yield len(held)
+
+    def group(table):
+        return list(run([table]))
+
+    begun = rss()
+    assert list(common.lean(run)([0])) == common.lean(group)(0) == [1500]
+    assert rss() - begun < 40
+    assert list(run([0])) == [1500] and rss() - begun > 100  # so it was before
+    common.give_back()
+    assert rss() - begun < 40
