@@ -39,7 +39,7 @@ QUANTUM = 8
 DEPTH = 3
 #: Rows that one task ranks, about.
 SALT_ROWS = 50_000
-#: Words in each of the two generations of a Python worker's memory.
+#: Words in each of the two generations of a Python worker's memory, where the caller names no other number.
 MEMORY = 600_000
 #: Texts whose new words are asked for together.
 TOGETHER = 64
@@ -55,12 +55,13 @@ class WordIds:
     moves to the younger one, and a full younger one becomes the older.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMORY):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.most = most
         self.library = Tokenizer.from_file(path)
         # texts that may hold a special token are not lower-cased here: its spelling counts
         self.special = list({t.content.encode()[:2] for t in self.library.get_added_tokens_decoder().values()})
@@ -116,7 +117,7 @@ class WordIds:
             split.append((raw if any(t in raw for t in self.special) else raw.lower()).split())
         new = set().union(*split).difference(self.memory)
         if new:
-            if len(self.memory) + len(new) > MEMORY:
+            if len(self.memory) + len(new) > self.most:
                 self.older, self.memory = self.memory, {}
                 new = set().union(*split)
             self.learn(new)
@@ -127,16 +128,16 @@ class WordIds:
         return self.many([text])[0]
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[tuple[str, int], WordIds] = {}
 
 
-def cut(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+def cut(docs: DataFrame, path: str, window: int = WINDOW, words: int = MEMORY) -> DataFrame:
     """Pieces of at most a window: whole windows from the start, then the tail."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            _LOADED[path] = WordIds(path)
-        library = _LOADED[path]
+        if (path, words) not in _LOADED:
+            _LOADED[path, words] = WordIds(path, words)
+        library = _LOADED[path, words]
         end = np.array([END_ID], dtype="<u4")
         for batch in batches:
             texts, owners = batch.column("text"), batch.column("doc_id")
@@ -291,11 +292,11 @@ def place(cls: Column, rank: Column, found: dict[int, tuple[np.ndarray, ...]]) -
     return look(cls, rank)
 
 
-def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW, quantum: int = QUANTUM, depth: int = DEPTH) -> DataFrame:
-    """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
+def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW, quantum: int = QUANTUM, depth: int = DEPTH, words: int = MEMORY) -> DataFrame:
+    """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset.  ``words`` bounds what each generation of a worker's memory holds."""
     stage = Stage(spark, "packing")
     classes = -(-window // quantum)
-    pieces = stage.save(cut(docs, path, window), "pieces")
+    pieces = stage.save(cut(docs, path, window, words), "pieces")
     salts = max(1, pieces.count() // SALT_ROWS)
     cls = F.ceil(F.col("length") / quantum).cast("long")
     salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts))

@@ -678,3 +678,41 @@ def test_pipeline_run_by_force(spark, sf_dir, docs, tmp_path):
         ids = np.array([*tok.encode(final[i], add_special_tokens=False).ids, 1], dtype="<u4")
         assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(part.start, part.length)] == part.ids_crc32.tolist()
         assert part.length.sum() == len(ids)
+
+
+def test_pipeline_batches_and_word_memory_are_bounded(spark, sf_dir, monkeypatch):
+    """A stage hands workers small batches, ``run`` sets the session back, and no result depends on either bound."""
+    import corpus_pipeline as c
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    def rows():
+        return sorted(map(tuple, c.run(spark, sf_dir).collect()))
+
+    docs = spark.range(2000, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text")
+    for key in c.BATCHES:
+        spark.conf.unset(key)
+    before = {key: spark.conf.get(key) for key in c.BATCHES}
+    try:
+        whole = rows()
+        assert {key: spark.conf.get(key) for key in c.BATCHES} == before
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) > 9e6
+        c.personal_data(spark, docs.limit(5), sf_dir)
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 3e6
+        monkeypatch.setattr(c, "BATCHES", dict(zip(c.BATCHES, ("2k", "7"), strict=True)))
+        monkeypatch.setattr(c, "WORDS", 50)
+        assert rows() == whole
+    finally:
+        for key in before:
+            spark.conf.unset(key)
+
+
+def test_word_memory_keeps_its_bound():
+    few = packing.WordIds(tokenizer("word_bpe_49k.json"), 100)
+    texts = [" ".join(f"word{k}x{i}" for i in range(40)) for k in range(60)]
+    many = packing.WordIds(tokenizer("word_bpe_49k.json"))
+    assert all((few.ids(t) == many.ids(t)).all() for t in texts)
+    assert len(few.memory) <= 100 and len(few.older) <= 100 and len(many.memory) == 2400
