@@ -20,14 +20,16 @@ from 0 and hold their pieces without gaps.
 
 from __future__ import annotations
 
-import struct
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,14 @@ DEPTH = 3
 SALT_ROWS = 50_000
 #: Words in each of the two generations of a Python worker's memory, where the caller names no other number.
 MEMORY = 600_000
-#: Texts whose new words are asked for together.
-TOGETHER = 64
+#: Bytes of text whose words are looked up together, about; a generation holds the distinct words of as much, where they are more than its number.
+TOGETHER = 4 << 20
+#: New words that the library gets at once.
+ASKED = 4096
+#: Characters that are neither letters nor digits; an apostrophe may begin a word.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: A generation of the memory.
+GENERATION = pa.struct([("word", pa.large_string()), ("ids", pa.large_list(pa.uint32()))])
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -51,8 +59,10 @@ class WordIds:
 
     The vocabulary's normaliser lower-cases, and its pre-tokenizer drops white
     space and never joins over it, so a text's ids are its words' ids one after
-    another.  The words' memory has two generations: what is asked for again
-    moves to the younger one, and a full younger one becomes the older.
+    another.  Texts are split, and their distinct words found and looked up, in
+    Arrow; the ids of all words are then gathered by their places.  The words'
+    memory has two generations: what is asked for again moves to the younger one,
+    and a full younger one becomes the older.
     """
 
     def __init__(self, path: str, most: int = MEMORY):
@@ -64,68 +74,83 @@ class WordIds:
         self.most = most
         self.library = Tokenizer.from_file(path)
         # texts that may hold a special token are not lower-cased here: its spelling counts
-        self.special = list({t.content.encode()[:2] for t in self.library.get_added_tokens_decoder().values()})
+        self.special = list({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.memory: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.stops = {p: self.ask([p])[0] for p in (b".", b",")}
-
-    def ask(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words from the library: those of letters all in one text, told apart by the ids that end a word."""
-        texts = [w.decode() for w in words]
-        letters = [t for t in texts if t.isalpha()]
-        ids = np.array(self.library.encode(" ".join(letters), add_special_tokens=False).ids, dtype="<u4")
-        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist() if len(ids) else []
+        self.memory = self.older = pa.array([], GENERATION)
+
+    def ask(self, words: pa.Array) -> pa.Array:
+        """Words with their ids from the library: those of letters all in one text, told apart by the ids that end a word."""
+        plain = pc.utf8_is_alpha(words)
+        letters, rest = words.filter(plain), words.filter(pc.invert(plain))
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(letters)], letters), pa.scalar(" ", pa.large_string()))[0].as_py()
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(letters):  # a letter that the normaliser takes apart
-            return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        rest = [t for t in texts if not t.isalpha()]
-        found = dict(zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        out, start, raw = [], 0, ids.tobytes()
-        at = iter(ends)
-        for t in texts:
-            if t in found:
-                out.append(struct.pack(f"<{len(found[t])}I", *found[t].ids))
-            else:
-                end = next(at)
-                out.append(raw[4 * start : 4 * end])
-                start = end
-        return out
-
-    def learn(self, words: set[bytes]) -> None:
-        """Take new words into the memory; a stop after an ASCII letter is a word of its own to the pre-tokenizer."""
-        memory, older = self.memory, self.older
-        stopped = {w: w[:-1] for w in words if len(w) > 1 and w[-1:] in self.stops and 97 <= w[-2] <= 122}
-        ask = []
-        for w in words.difference(stopped).union(stopped.values()):
-            if w not in memory:
-                if (known := older.get(w)) is None:
-                    ask.append(w)
-                else:
-                    memory[w] = known
-        if ask:
-            memory.update(zip(ask, self.ask(ask), strict=True))
-        for w, stem in stopped.items():
-            memory[w] = memory[stem] + self.stops[w[-1:]]
-
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of some texts, whose new words are asked for together."""
-        split = []
-        for text in texts:
-            raw = text.encode()
-            split.append((raw if any(t in raw for t in self.special) else raw.lower()).split())
-        new = set().union(*split).difference(self.memory)
-        if new:
-            if len(self.memory) + len(new) > self.most:
-                self.older, self.memory = self.memory, {}
-                new = set().union(*split)
-            self.learn(new)
-        known = self.memory.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)), dtype="<u4") for words in split]
+            letters, rest, ids, ends = words.slice(0, 0), words, ids[:0], ends[:0]
+        alone = [e.ids for e in self.library.encode_batch_fast(rest.to_pylist(), add_special_tokens=False)]
+        start = np.concatenate([[0], ends, len(ids) + np.cumsum([len(x) for x in alone], dtype=np.int64)])
+        ids = np.concatenate([ids, *(np.array(x, dtype="<u4") for x in alone)])
+        return pa.StructArray.from_arrays([pa.concat_arrays([letters, rest]), pa.LargeListArray.from_arrays(pa.array(start, pa.int64()), pa.array(ids))], fields=list(GENERATION))
+
+    def learn(self, words: pa.Array) -> None:
+        """Take new words into the memory."""
+        at = pc.index_in(words, value_set=self.older.field("word"))
+        unknown = words.filter(at.is_null())
+        asked = [self.ask(unknown.slice(k, ASKED)) for k in range(0, len(unknown), ASKED)]
+        self.memory = pa.concat_arrays([self.memory, self.older.take(at.drop_null()), *asked])
+
+    def parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words without the marks at their end, and these (or null): after an ASCII letter they are one word of their own to the pre-tokenizer."""
+        stem = pc.ascii_rtrim(words, characters=MARKS)
+        apart = pc.and_(pc.not_equal(pc.binary_length(stem), pc.binary_length(words)), pc.match_substring_regex(stem, "[a-z]$"))
+        for t in self.special:
+            apart = pc.and_not(apart, pc.match_substring(words, t))
+        marks = pc.extract_regex(pc.if_else(apart, words, None), f"(?P<marks>[{re.escape(MARKS)}]+)$")
+        return pc.if_else(apart, stem, words), marks.field("marks")
+
+    def numbers(self, words: pa.Array) -> pa.Array:
+        """The places of words in the memory, which learns the new ones (the empty word: null)."""
+        at = pc.index_in(words, value_set=self.memory.field("word"))
+        new = words.filter(pc.and_(at.is_null(), pc.not_equal(words, ""))).unique()  # a null word is none
+        if not len(new):
+            return at
+        if len(self.memory) + len(new) > self.most:
+            self.older, self.memory = self.memory, self.memory.slice(0, 0)
+            new = words.filter(pc.not_equal(words, "")).unique()
+        self.learn(new)
+        return pc.index_in(words, value_set=self.memory.field("word"))
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts (null: none) one after another, and where each text's end."""
+        texts = texts.fill_null("")
+        lower = pc.ascii_lower(texts)
+        for t in self.special:
+            held = pc.match_substring(texts, t)
+            if pc.any(held).as_py():
+                lower = pc.if_else(held, texts, lower)
+        split = pc.ascii_split_whitespace(lower)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_string())
+        stems, marks = self.parts(words)
+        at = self.numbers(pa.concat_arrays([stems, marks]))
+        both = np.arange(len(at)).reshape(2, -1).T.ravel()  # a stem's ids, then those of its marks
+        lists = self.memory.field("ids").take(at.take(pa.array(both)))
+        ids = pa.LargeListArray.from_arrays(lists.offsets.take(pa.array(np.arange(0, len(lists) + 1, 2))), lists.values).take(coded.indices)
+        return ids.values.to_numpy(), ids.offsets.to_numpy()[split.offsets.to_numpy()[1:]]
 
     def ids(self, text: str) -> np.ndarray:
-        return self.many([text])[0]
+        return self.many(pa.array([text]))[0]
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about ``TOGETHER`` bytes, or of one longer text."""
+    size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (np.cumsum(size) - size) // TOGETHER
+    cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(texts)]
+    for i, j in pairwise(cuts):
+        yield texts.slice(i, j - i)
 
 
 _LOADED: dict[tuple[str, int], WordIds] = {}
@@ -138,19 +163,23 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW, words: int = MEMORY) -
         if (path, words) not in _LOADED:
             _LOADED[path, words] = WordIds(path, words)
         library = _LOADED[path, words]
-        end = np.array([END_ID], dtype="<u4")
         for batch in batches:
-            texts, owners = batch.column("text"), batch.column("doc_id")
+            owners = batch.column("doc_id")
             rows, starts, lengths, sums, totals = [], [], [], [], []
-            for k, ids in enumerate(i for at in range(0, batch.num_rows, TOGETHER) for i in library.many([x or "" for x in texts.slice(at, TOGETHER).to_pylist()])):
-                ids = np.concatenate([ids, end])
-                for at in range(0, len(ids), window):
-                    piece = ids[at : at + window]
-                    rows.append(k)
-                    starts.append(at)
-                    lengths.append(len(piece))
-                    sums.append(zlib.crc32(piece.tobytes()))
-                    totals.append(len(ids))
+            k = 0
+            for texts in slices(batch.column("text")):
+                ids, ends = library.many(texts)
+                raw = memoryview(np.insert(ids, ends, END_ID).astype("<u4", copy=False)).cast("B")
+                ends += np.arange(1, len(ends) + 1)
+                for first, last in pairwise([0, *ends.tolist()]):
+                    for at in range(first, last, window):
+                        stop = min(at + window, last)
+                        rows.append(k)
+                        starts.append(at - first)
+                        lengths.append(stop - at)
+                        sums.append(zlib.crc32(raw[4 * at : 4 * stop]))
+                        totals.append(last - first)
+                    k += 1
             yield pa.RecordBatch.from_arrays(
                 [owners.take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             )

@@ -9,6 +9,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -239,6 +240,30 @@ def test_word_ids_equal_the_library():
         assert mine.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_word_ids_of_many_texts_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "TOGETHER", 300)
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    rng = random.Random(3)
+    pieces = ["ab", "Ab", "it's", "x", "é", "e\u0301", "Σ", "7", "!", "...", "***", "$%&", "'s", "'", "|>", "<|", "<|endoftext|>", "\x1c", "\u3000", " ", "\t", "\n ", "\u0338"]
+    texts = [None, "", " ", *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(3000)), "long " * 200, None]
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most in (20, 10**6):
+        mine, got = packing.WordIds(tokenizer("word_bpe_49k.json"), most), []
+        for part in packing.slices(pa.array(texts)):
+            ids, ends = mine.many(part)
+            got += [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == wanted
+
+
+def test_a_word_is_asked_once_whatever_marks_follow():
+    mine = packing.WordIds(tokenizer("word_bpe_49k.json"))
+    stems, marks = ["table", "chairs", "it's", "naïve"], ["", ".", "!", "***", "$$$", '.")', "|||"]
+    mine.ids(" ".join(s + m for s in stems for m in marks))
+    assert len(mine.memory) == len(stems) + len(marks) - 1
+
+
 def test_plan_uses_up_every_length():
     rng = random.Random(1)
     for _ in range(20):
